@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dredge.llm import mixing, url_filter
+from dredge.llm import chat_format, mixing, quality_llr, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_quality_rules": quality_llr.op3_quality_rules,
+        "op4_chat_format": chat_format.op4_chat_format,
         "op5_mixing": mixing.op5_mixing,
         "op10_url_filter": url_filter.op10_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.SQL, "op10_url_filter": url_filter.SQL}
+    return {"op4_chat_format": chat_format.SQL, "op5_mixing": mixing.SQL, "op10_url_filter": url_filter.SQL}
