@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dredge.llm import chat_format, mixing, quality_llr, url_filter
+from dredge.llm import chat_format, media_avi, mixing, quality_llr, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_rules": quality_llr.op3_quality_rules,
         "op4_chat_format": chat_format.op4_chat_format,
         "op5_mixing": mixing.op5_mixing,
+        "op6_media": media_avi.op6_media,
         "op10_url_filter": url_filter.op10_url_filter,
     }
 
