@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dredge.llm import chat_format, media_avi, mixing, quality_llr, url_filter
+from dredge.llm import chat_format, langid_cnn, media_avi, mixing, quality_llr, quality_qda, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_classifier": quality_qda.op1_quality_classifier,
         "op3_quality_rules": quality_llr.op3_quality_rules,
         "op4_chat_format": chat_format.op4_chat_format,
         "op5_mixing": mixing.op5_mixing,
         "op6_media": media_avi.op6_media,
+        "op7_language": langid_cnn.op7_language,
         "op10_url_filter": url_filter.op10_url_filter,
     }
 
