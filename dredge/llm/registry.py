@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dredge.llm import chat_format, langid_cnn, media_avi, mixing, quality_llr, quality_qda, url_filter
+from dredge.llm import chat_format, langid_cnn, media_avi, mixing, quality_llr, quality_qda, toxicity_gru, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": quality_qda.op1_quality_classifier,
+        "op2_toxicity": toxicity_gru.op2_toxicity,
         "op3_quality_rules": quality_llr.op3_quality_rules,
         "op4_chat_format": chat_format.op4_chat_format,
         "op5_mixing": mixing.op5_mixing,
