@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dredge.llm import chat_format, langid_cnn, media_avi, mixing, quality_llr, quality_qda, toxicity_gru, url_filter
+from dredge.llm import chat_format, langid_cnn, media_avi, mixing, packing, quality_llr, quality_qda, toxicity_gru, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_mixing": mixing.op5_mixing,
         "op6_media": media_avi.op6_media,
         "op7_language": langid_cnn.op7_language,
+        "op8_packing": packing.op8_packing,
         "op10_url_filter": url_filter.op10_url_filter,
     }
 
