@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +26,23 @@ def lines(files: DataFrame, *carry: str) -> DataFrame:
     )
 
 
+def linear(function, kind: str, pattern: str):
+    """An Arrow UDF around one of Arrow's RE2 kernels, which take linear time for any pattern."""
+
+    @F.arrow_udf(kind)
+    def run(text: pa.Array) -> pa.Array:
+        return function(text, pattern=pattern)
+
+    return run
+
+
 @dataclass
 class Matcher:
-    """How a pattern is tested: as a literal (``contains``) where it is one, else as a Java pattern."""
+    """How a pattern is tested: as a literal (``contains``) where it is one, else as a Java pattern.
+
+    A pattern with an unbounded repetition inside another could make Java backtrack without end; it is
+    run by RE2 itself in Arrow batches (``linear``).
+    """
 
     pattern: str
     fixed: bool = False
@@ -36,10 +52,12 @@ class Matcher:
         self.literal = P.plain_literal(self.pattern, self.fixed)
         if self.literal is not None and (self.literal == "" or (self.nocase and not self.literal.isascii())):
             self.literal = None
+        self.linear = False
         if self.literal is None:
             source = P.Node("cat", kids=[P.Node("lit", c, self.nocase) for c in self.pattern]) if self.fixed else P.parse(f"(?i){self.pattern}" if self.nocase else self.pattern)
             self.java = P.java(source)
             self.empty = P.can_be_empty(source)
+            self.linear = P.nested_repeat(source)
         elif self.nocase:
             self.java = "(?i)" + "".join(P.java_char(ord(c)) for c in self.literal)
             self.empty = False
@@ -58,10 +76,18 @@ class Matcher:
             return text.contains(self.literal)
         if self.folds_ascii:
             return ascii_lower(text).contains(self.literal.lower())
+        if self.linear:
+            return linear(pc.match_substring_regex, "boolean", self.re2)(text)
         return text.rlike(self.java)
 
+    @property
+    def re2(self) -> str:
+        return f"(?i){self.pattern}" if self.nocase else self.pattern
+
     def first(self, text: Column) -> Column:
         """Byte offset of the first match in a text that has one."""
+        if self.linear:
+            return linear(pc.find_substring_regex, "int", self.re2)(text)
         if self.literal is not None:
             subject, needle = (ascii_lower(text), self.literal.lower()) if self.nocase else (text, self.literal)
             place = F.locate(needle, subject)
@@ -73,6 +99,8 @@ class Matcher:
         """Matches in a text that do not overlap."""
         if self.literal is not None:
             return occurrences(ascii_lower(text), self.literal.lower()) if self.nocase else occurrences(text, self.literal)
+        if self.linear:
+            return linear(pc.count_substring_regex, "int", self.re2)(text).cast("long")
         return F.regexp_count(text, F.lit(self.java)).cast("long")
 
     def prefilter(self, text: Column) -> Column | None:
@@ -101,6 +129,8 @@ def matching_spans(files: DataFrame, m: Matcher, *carry: str) -> DataFrame:
     """
     if m.empty:
         raise P.BadPattern("a pattern for whole files must not match the empty text")
+    if m.linear:
+        raise P.BadPattern("rows of whole-file matches need a pattern without nested unbounded repetitions; count or list files instead")
     text = F.col("text")
     found = files.where(m.hits(text)).select("path", *carry, "text", F.regexp_extract_all(text, F.lit(f"({m.java})"), F.lit(0)).alias("hit"), F.split(text, m.java, -1).alias("gap"))
     # a split that begins with a match has an empty first part, so gaps and hits alternate

@@ -11,7 +11,7 @@ from dredge.conf import parse_size
 from dredge.functions import paths
 from dredge.functions.text import window
 from dredge.operators.lines import Matcher, lines, matching_lines, matching_spans, split_lines
-from dredge.plans.pattern import BadPattern, nested_repeat, parse
+from dredge.plans.pattern import BadPattern
 from dredge.sources.corpus import searchable
 
 MODES = ("matches", "files", "count", "occurrences")
@@ -59,11 +59,9 @@ def scoped(
 
 
 def checked(pattern: str, fixed: bool, nocase: bool) -> Matcher:
-    """The matcher of a pattern; patterns that could backtrack without end are refused."""
+    """The matcher of a pattern."""
     if len(pattern) > MAX_PATTERN:
         raise BadPattern("the pattern is too long")
-    if not fixed and nested_repeat(parse(pattern)):
-        raise BadPattern("an unbounded repetition inside another can take exponential time")
     return Matcher(pattern, fixed, nocase)
 
 
@@ -97,7 +95,9 @@ def search(
         # decided within the row: no line is exploded, the first hit ends it
         need = m.prefilter(text)
         subject = subject if need is None else subject.where(need)
-        if m.literal is None:
+        if m.linear:
+            subject = lines(subject).where(m.hits(text))
+        elif m.literal is None:
             subject = subject.where(F.exists(split_lines(text), m.hits))
         elif need is None:
             subject = subject.where(m.hits(text))
