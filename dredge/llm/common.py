@@ -30,7 +30,7 @@ def id_crc(doc_id: str = "doc_id") -> Column:
 
 def words(text: Column) -> Column:
     """Array of the words of a text; empty for null."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})"), F.lit(1))
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
 def n_words(text: Column) -> Column:
