@@ -11,8 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dredge.operators.delta import dirty_shards, latest, overlay
 from dredge.operators.lines import Matcher
-from dredge.operators.symbols import definitions
+from dredge.operators.symbols import DEF_COLUMNS, definitions
+from dredge.plans.pattern import flags_free
+from dredge.plans.search import search
+from dredge.schemas import DEFS
 
 SHARD_TARGET = 80 << 20
 SHARD_MIN = 32 << 20
@@ -34,19 +38,13 @@ def required_keys(m: Matcher) -> list[int]:
     if not literal:
         return []
     if m.folds_ascii or not m.nocase:
-        safe = m.folds_ascii or _written(m)
+        safe = m.folds_ascii or flags_free(m.pattern, m.fixed)
         parts = [literal] if safe else _ascii_runs(literal)
     else:
         parts = _ascii_runs(literal)
     return sorted({int(k) for p in parts for k in trigram_keys(p.encode())})
 
 
-def _written(m: Matcher) -> bool:
-    from dredge.plans.pattern import flags_free
-
-    return flags_free(m.pattern, m.fixed)
-
-
 def _ascii_runs(literal: str) -> list[str]:
     return "".join(c if c.isascii() and c not in "kKsS" else "\0" for c in literal).split("\0")
 
@@ -125,8 +123,6 @@ def shard_of(paths: DataFrame, shards: DataFrame) -> DataFrame:
 
 def indexed_search(files: DataFrame, post: DataFrame, pattern: str, nocase: bool = False, fixed: bool = False, **filters) -> DataFrame:
     """As ``search`` for matches: candidates by trigram, then the exact test."""
-    from dredge.plans.search import search
-
     m = Matcher(pattern, fixed, nocase)
     keys = required_keys(m)
     subject = files.join(candidates(post, keys), "path", "left_semi") if keys else files
@@ -134,69 +130,125 @@ def indexed_search(files: DataFrame, post: DataFrame, pattern: str, nocase: bool
 
 
 class Index:
-    """An index on disk: versioned folders of Parquet tables and a pointer to the current version.
+    """An index on disk: Parquet tables files, postings and defs, partitioned by generation and shard.
 
-    A version has files, postings and defs partitioned by shard, and the manifest. Readers pin the version
-    they opened; building or compacting writes a new one and then moves the pointer.
+    The pointer file names the current version and, for each shard, the generation that holds it. Building
+    and compacting write a new generation and then replace the pointer, so readers see whole versions;
+    generations that no shard needs are deleted later, by ``clean``.
     """
 
+    TABLES = ("files", "postings", "defs")
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.folder)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+        path = jvm.org.apache.hadoop.fs.Path
+        return path(self.folder).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
-    def current(self) -> str:
+    def state(self) -> dict:
+        """{version, shards: {shard: generation}} of the current version."""
         fs, path = self._fs()
-        pointer = path(f"{self.folder}/CURRENT")
-        if not fs.exists(pointer):
+        if not fs.exists(path(f"{self.folder}/CURRENT")):
             raise FileNotFoundError(self.folder)
-        return json.loads(self.spark.read.text(f"{self.folder}/CURRENT").first()[0])["version"]
+        return json.loads(self.spark.read.text(f"{self.folder}/CURRENT").first()[0])
 
-    def build(self, files: DataFrame, target: int = SHARD_TARGET, least: int = SHARD_MIN) -> str:
-        """A full build of rows of path, size, mtime_ns, text; returns the version."""
-        version = f"v-{uuid.uuid4().hex}"
-        base = f"{self.folder}/{version}"
-        sharded = files.join(pack_shards(files, target, least), "path")
-        sharded.repartition("shard").sortWithinPartitions("shard", "path").write.partitionBy("shard").parquet(f"{base}/files")
-        stored = self.spark.read.parquet(f"{base}/files")
-        postings(stored, "shard").repartition("shard").sortWithinPartitions("tri", "path").write.partitionBy("shard").parquet(f"{base}/postings")
-        definitions(stored).write.parquet(f"{base}/defs")
-        manifest(stored).coalesce(1).write.parquet(f"{base}/manifest")
+    def _point(self, shards: dict[str, str]) -> str:
         fs, path = self._fs()
-        fresh = path(f"{self.folder}/CURRENT.{version}")
+        version = uuid.uuid4().hex
+        fresh, pointer = path(f"{self.folder}/CURRENT.{version}"), path(f"{self.folder}/CURRENT")
         out = fs.create(fresh, True)
-        out.write(bytearray(json.dumps({"version": version}).encode()))
+        out.write(bytearray(json.dumps({"version": version, "shards": shards}).encode()))
         out.close()
-        pointer = path(f"{self.folder}/CURRENT")
         if fs.exists(pointer):
             fs.delete(pointer, False)
         fs.rename(fresh, pointer)
         return version
 
-    def table(self, name: str, version: str | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{version or self.current()}/{name}")
+    def _write(self, sharded: DataFrame) -> tuple[str, list[str]]:
+        """A new generation of rows with a shard; its name and shards."""
+        gen = f"g{uuid.uuid4().hex}"
+        out = {name: f"{self.folder}/{name}/gen={gen}" for name in self.TABLES}
+        sharded.select("path", "size", "mtime_ns", "text", "shard").repartition("shard").sortWithinPartitions("shard", "path").write.partitionBy("shard").parquet(out["files"])
+        stored = self.spark.read.parquet(out["files"])
+        postings(stored, "shard").repartition("shard").sortWithinPartitions("shard", "tri", "path").write.partitionBy("shard").parquet(out["postings"])
+        definitions(stored).join(stored.select("path", "shard"), "path").repartition("shard").write.partitionBy("shard").parquet(out["defs"])
+        return gen, [str(r["shard"]) for r in stored.select("shard").distinct().collect()]
 
-    def search(self, pattern: str, nocase: bool = False, fixed: bool = False, **filters) -> DataFrame:
-        """Shards without the pattern's trigrams are pruned as partitions, then files by posting."""
+    def build(self, files: DataFrame, target: int = SHARD_TARGET, least: int = SHARD_MIN) -> str:
+        """A full build of rows of path, size, mtime_ns, text; returns the version."""
+        gen, shards = self._write(files.join(pack_shards(files, target, least), "path"))
+        return self._point(dict.fromkeys(shards, gen))
+
+    def table(self, name: str, state: dict | None = None) -> DataFrame:
+        """A table of a version (the current one if none is pinned)."""
+        fs, path = self._fs()
+        parts = [f"{self.folder}/{name}/gen={g}/shard={s}" for s, g in (state or self.state())["shards"].items()]
+        parts = [p for p in parts if fs.exists(path(p))]  # a shard without any definition has none
+        if parts:
+            return self.spark.read.option("basePath", f"{self.folder}/{name}").parquet(*parts).drop("gen")
+        empty = {"files": "path string, size long, mtime_ns long, text string, shard int", "postings": "path string, tri int, shard int", "defs": DEFS + ", shard int"}
+        return self.spark.createDataFrame([], empty[name])
+
+    def manifest(self, state: dict | None = None) -> DataFrame:
+        return manifest(self.table("files", state))
+
+    def search(self, pattern: str, nocase: bool = False, fixed: bool = False, delta: DataFrame | None = None, **filters) -> DataFrame:
+        """Shards without the pattern's trigrams are pruned as partitions, then files by posting.
+
+        Files with a change in ``delta`` are searched as they are now, without the index.
+        """
+        state = self.state()
         keys = required_keys(Matcher(pattern, fixed, nocase))
-        files, post = self.table("files"), self.table("postings")
+        files, post = self.table("files", state), self.table("postings", state)
         if keys:
             shards = [r["shard"] for r in shards_with(post, keys).collect()]  # as many as shards at most
             files, post = files.where(F.col("shard").isin(shards)), post.where(F.col("shard").isin(shards))
-        return indexed_search(files, post, pattern, nocase, fixed, **filters)
+            files = files.join(candidates(post, keys), "path", "left_semi")
+        if delta is not None:
+            files = overlay(files, delta)
+        return search(files, pattern, nocase=nocase, fixed=fixed, **filters)
+
+    def definitions(self, delta: DataFrame | None = None) -> DataFrame:
+        """All definitions; those of changed files are read from the changes."""
+        stored = self.table("defs").drop("shard")
+        if delta is None:
+            return stored
+        now = latest(delta)
+        return stored.join(now.select("path"), "path", "left_anti").select(*DEF_COLUMNS).unionByName(definitions(now.where("NOT deleted")))
+
+    def compact(self, delta: DataFrame, threshold: int = 20) -> list[int]:
+        """Write shards with enough changes anew; new files become a shard of their own. Returns the shards.
+
+        Changes of those shards are then in the index; applying them once more does no harm, so they may
+        be dropped from the delta at any later time (``delta.pending``).
+        """
+        state = self.state()
+        files = self.table("files", state)
+        hit = sorted(r["shard"] for r in dirty_shards(files, delta, threshold).collect())  # as many as shards at most
+        if not hit:
+            return []
+        fresh = max([-1, *map(int, state["shards"])]) + 1
+        own = files.select("path", F.col("shard").alias("_own"))
+        live = latest(delta).where("NOT deleted").join(own, "path", "left").withColumn("_own", F.coalesce("_own", F.lit(-1))).where(F.col("_own").isin(hit))
+        live = live.select("path", "size", F.lit(0).cast("long").alias("mtime_ns"), "text", F.when(F.col("_own") < 0, F.lit(fresh)).otherwise(F.col("_own")).cast("int").alias("shard"))
+        kept = files.where(F.col("shard").isin(hit)).join(latest(delta).select("path"), "path", "left_anti").select("path", "size", "mtime_ns", "text", "shard")
+        gen, shards = self._write(kept.unionByName(live))
+        rest = {s: g for s, g in state["shards"].items() if int(s) not in hit}
+        self._point(rest | dict.fromkeys(shards, gen))
+        return hit
 
     def clean(self) -> list[str]:
-        """Delete versions and pointers that are not current; their names."""
+        """Delete generations that no shard of the current version is in; their names."""
         fs, path = self._fs()
-        keep, gone = self.current(), []
-        for s in fs.listStatus(path(self.folder)):
-            name = s.getPath().getName()
-            if name not in (keep, "CURRENT"):
-                fs.delete(s.getPath(), True)
-                gone.append(name)
+        used, gone = {f"gen={g}" for g in self.state()["shards"].values()}, set()
+        for name in self.TABLES:
+            base = path(f"{self.folder}/{name}")
+            for s in fs.listStatus(base) if fs.exists(base) else []:
+                if s.getPath().getName() not in used:
+                    gone.add(s.getPath().getName().removeprefix("gen="))
+                    fs.delete(s.getPath(), True)
         return sorted(gone)
 
     def size(self) -> int:
@@ -208,5 +260,3 @@ class Index:
         """Delete the index; whether there was one."""
         fs, path = self._fs()
         return fs.delete(path(self.folder), True)
-
-

@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from dredge.cli import main
 from dredge.conf import EngineConf, parse_size
 from dredge.functions import paths, symbols
 from dredge import fixtures
@@ -68,9 +69,17 @@ def test_index(spark, tmp_path):
     index.build(files, target=64, least=32)
     assert [r["path"] for r in index.search("token17 ").collect()] == ["d2/f17.txt"]
     assert index.search("nothing").count() == 0 and index.search("TOKEN3", nocase=True).count() == 11
-    assert index.table("defs").select("name").collect() == [("target",)] and index.table("manifest").count() > 3
+    assert index.table("defs").select("name").collect() == [("target",)] and index.manifest().count() > 3
+    change = spark.createDataFrame([("d0/f0.txt", False, 1, 9, "renewed17\n"), ("d0/f3.txt", True, 1, None, None), ("new.py", False, 1, 9, "def fresh(): pass\n")], "path string, deleted boolean, seq long, size long, text string")
+    for delta in (change, None):
+        found = lambda p: [r["path"] for r in index.search(p, delta=delta).collect()]  # noqa: E731, B023
+        assert found("renewed17") == ["d0/f0.txt"] and found("token3 ") == [] and found("fresh") == ["new.py"] and found("token0 ") == []
+        assert {r["name"] for r in index.definitions(delta).collect()} == {"target", "fresh"}
+        if delta is not None:
+            assert -1 in index.compact(change, threshold=20)
+            assert index.compact(change.limit(0)) == [] and len(index.clean()) == 0
     index.build(files.limit(1), target=64, least=32)
-    assert len(index.clean()) == 1 and index.table("files").count() == 1 and index.size() > 0
+    assert len(index.clean()) == 2 and index.table("files").count() == 1 and index.size() > 0
     assert index.forget()
     with pytest.raises(FileNotFoundError):
         index.search("token17")
@@ -99,3 +108,12 @@ def test_many_references():
     assert len(symbols.references("a.go", src, "f")) == 1000
     got = symbols.references("A.java", "class A {\n  void m() {\n    S s = new S(r);\n  }\n}\n", "S")
     assert got == [(3, "ref")]
+
+
+def test_command_line(spark, root, capsys):
+    run = lambda *a: (main(list(a), spark), capsys.readouterr().out)
+    assert run("search", "Hello[A-Z]", str(root), "-g", "*.go") == (0, "a.go:2:func HelloWorld() {}\n")
+    assert run("search", "-c", "package", str(root)) == (0, "a.go:1\nb.go:1\n")
+    assert run("search", "nothing", str(root))[0] == 1 and run("search", "(", str(root))[0] == 2
+    assert run("def", "HelloWorld", str(root)) == (0, "a.go:2: [func HelloWorld] func HelloWorld() {}\n")
+    assert run("symbols", "none.go", str(root))[0] == 2 and '"files":4' in run("status", "", str(root))[1]
