@@ -15,8 +15,8 @@ from dredge.plans import pattern as P
 
 def split_lines(text: Column) -> Column:
     """Lines without their newlines; a last newline ends its line and begins none, and no text has no line."""
-    parts = F.split(text, "\n", -1)
-    return F.when(text.endswith("\n") | (text == ""), F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    body = F.when(text.endswith("\n"), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(body, "\n", -1))
 
 
 def lines(files: DataFrame, *carry: str) -> DataFrame:
@@ -74,11 +74,11 @@ class Matcher:
     def hits(self, text: Column) -> Column:
         if self.literal is not None and not self.nocase:
             return text.contains(self.literal)
-        if self.folds_ascii:
-            return ascii_lower(text).contains(self.literal.lower())
         if self.linear:
             return linear(pc.match_substring_regex, "boolean", self.re2)(text)
-        return text.rlike(self.java)
+        found = text.rlike(self.java)
+        need = self.required if not self.nocase and P.flags_free(self.pattern, self.fixed) else ""
+        return text.contains(need) & found if need else found
 
     @property
     def re2(self) -> str:
@@ -109,7 +109,7 @@ class Matcher:
         if not need or "\n" in need:
             return None
         if self.nocase:
-            return ascii_lower(text).contains(need.lower()) if self.literal is not None else None
+            return text.rlike(self.java) if self.literal is not None else None
         return text.contains(need) if P.flags_free(self.pattern, self.fixed) else None
 
 

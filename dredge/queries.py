@@ -42,7 +42,7 @@ def query(name: str, sql: str | None = None):
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.document_files(C.table(spark, sf_dir, "documents"))
+    return C.spread(C.document_files(C.table(spark, sf_dir, "documents")))
 
 
 def sources(spark: SparkSession) -> DataFrame:

@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than cores (one small file, say) dealt over the cores; others as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def _files(df: DataFrame, path: Column, text: str) -> DataFrame:
     return df.select(path.alias("path"), F.octet_length(text).cast("long").alias("size"), F.col(text).alias("text")).where("text IS NOT NULL")
 
