@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dredge.sources.corpus import spread
+
 #: A word, everywhere in this subpackage. ``bytes.split()`` splits at exactly these separators too.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = " \t\n\x0b\x0c\r"
@@ -20,7 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return table(spark, sf_dir, "documents", *columns)
+    """The documents; a scan of fewer partitions than cores is dealt over the cores."""
+    return spread(table(spark, sf_dir, "documents", *columns))
 
 
 def id_crc(doc_id: str = "doc_id") -> Column:
