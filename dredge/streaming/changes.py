@@ -14,7 +14,8 @@ def debounced(changes: DataFrame, gap: str, key: str = "path", time: str = "ts",
     Works on batches and, with a watermark, on streams.
     """
     source = changes.withWatermark(time, watermark) if watermark else changes
-    burst = source.groupBy(F.session_window(time, gap).alias("w")).agg(F.count("*").alias("n"), F.sort_array(F.collect_set(key)).alias("paths"))
+    # a stream needs a grouping column besides the window; this one is the same for all rows
+    burst = source.withColumn("_all", F.length(key) * 0).groupBy("_all", F.session_window(time, gap).alias("w")).agg(F.count("*").alias("n"), F.sort_array(F.collect_set(key)).alias("paths"))
     return burst.select(F.col("w.start").alias("batch_start"), F.expr(f"w.end - INTERVAL {gap}").alias("batch_end"), "n", "paths")
 
 
