@@ -67,3 +67,16 @@ def test_pending(spark):
     assert [(r["path"], r["deleted"]) for r in D.latest(delta).orderBy("path").collect()] == [("a", True), ("b", False)]
     sharded = spark.createDataFrame([("a", 0), ("b", 1)], "path string, shard int")
     assert D.dirty_shards(sharded, delta, 5).count() == 2 and D.dirty_shards(sharded, delta.withColumn("path", F.concat("path", "seq")), 1).where("shard = -1").count() == 1
+
+
+def test_sql_functions(spark):
+    from dredge import fixtures
+    from dredge.functions.register import register
+
+    register(spark)
+    spark.createDataFrame(fixtures.SOURCES, "path string, text string").createOrReplaceTempView("sources")
+    got = spark.sql("SELECT s.path, d.* FROM sources s, LATERAL extract_defs(s.path, s.text) d").collect()
+    assert sorted(map(tuple, got)) == sorted(fixtures.DEFS)
+    assert [tuple(r) for r in spark.sql("SELECT r.* FROM sources s, LATERAL find_refs(s.path, s.text, 'target') r ORDER BY 1").collect()] == [(6, "call"), (7, "ref")]
+    assert spark.sql("SELECT t.tri FROM trigrams('AbC') t").collect() == [(0x616263,)]
+    assert spark.sql(r"SELECT rlike('a\n', re2('a$'))").first()[0] is False
