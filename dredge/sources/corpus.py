@@ -49,8 +49,10 @@ def route(files: DataFrame, conf: EngineConf | None = None) -> DataFrame:
     out = files.withColumn("_large", F.col("size") > conf.max_filesize_mb << 20)
     if conf.max_index_mb:
         spent = F.sum(F.when(F.col("_large"), 0).otherwise(F.col("size"))).over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, 0))
-        sums = files.select("path", "size").withColumn("_large", F.col("size") > conf.max_filesize_mb << 20).select("path", (spent > conf.max_index_mb << 20).alias("_over"))
-        out = out.join(sums, "path")
+        sums = files.select("path", "size").withColumn("_large", F.col("size") > conf.max_filesize_mb << 20).select("path", (spent > conf.max_index_mb << 20).alias("over"))
+        # sums rise in path order, so one path divides what fits from what does not: contents are not shuffled
+        first_over = sums.where("over").agg(F.min("path").alias("path")).scalar()
+        out = out.withColumn("_over", F.coalesce(F.col("path") >= first_over, F.lit(False)))
     else:
         out = out.withColumn("_over", F.lit(False))
     out = out.withColumn("text", decode_utf16("content"))
