@@ -9,15 +9,19 @@
    n classes makes n - 1 candidates. The bands' different centres tie a group together many times over.
    A pair at the threshold 0.8 shares no bucket with probability (1 - 0.8 ** 4) ** 32 = 5e-8.
 3. Candidates whose signatures agree in far fewer bins than the threshold asks (``MARGIN`` below, over
-   four deviations) go. What remains connected is a cluster: it holds all members of its links.
+   four deviations) go. A centre may be unlike the members that it shares a common passage with, so every
+   member that it lost then meets all others of the bucket by signature (in blocks of ``BUCKET_BLOCK``).
+   Thus any two members of a bucket that agree are connected, whatever the centre. What remains connected
+   is a cluster: it holds all members of its links.
 4. A star does not see every pair. So each cluster is settled exactly, on full sets from whole texts:
    members linked to the best centre join it; every other member is compared with all. Clusters of over
    ``CLUSTER_BLOCK`` classes are split into blocks and all pairs of blocks are settled in tasks of their
    own, so no task holds more than two blocks.
 5. The links' components, by the large-star / small-star alternation, give each class its smallest id.
 
-What is shuffled: a signature and 32 bucket keys per class, and the texts of classes that are in a
-cluster. Hot copies collapse in the first aggregation; ids, links and components stay in tables.
+What is shuffled: a signature and 32 bucket keys per class, a signature per member of a bucket whose
+centre lost members, and the texts of classes that are in a cluster. Meeting all others is work with the
+square of the members that a bucket's centre lost. Hot copies collapse in the first aggregation; ids, links and components stay in tables.
 
 Defined edge cases: null text and text without words have the empty set and stay alone; with fewer
 words than a shingle has, the whole sequence is the one shingle; repeated rows (same id) are one
@@ -45,6 +49,7 @@ BINS = BANDS * ROWS
 #: How far below the threshold the share of agreeing bins may lie.
 MARGIN = 0.18
 CLUSTER_BLOCK = 1500
+BUCKET_BLOCK = 4096
 MAX_ROUNDS = 60
 CACHE = 300_000
 PROBES = 64
@@ -155,9 +160,15 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
 
 def agreement(a: pa.Array, b: pa.Array) -> np.ndarray:
     """Share of agreeing signature bytes of each pair, less what agrees by chance."""
-    x = np.frombuffer(b"".join(a.to_pylist()), np.uint8).reshape(-1, BINS)
-    y = np.frombuffer(b"".join(b.to_pylist()), np.uint8).reshape(-1, BINS)
-    return ((x == y).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+    return shares(unpacked(a), unpacked(b))
+
+
+def unpacked(sig: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(sig.to_pylist()), np.uint8).reshape(-1, BINS)
+
+
+def shares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return (np.count_nonzero(x == y, axis=1) / BINS - 1 / 256) / (1 - 1 / 256)
 
 
 def agreeing():
@@ -168,15 +179,66 @@ def agreeing():
     return share
 
 
-def star_candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """Distinct candidate pairs (a, b), a < b, of classes (rep, keys, sig)."""
+def star_candidates(classes: DataFrame, percent: int, block: int = BUCKET_BLOCK) -> DataFrame:
+    """Pairs (a, b) of classes (rep, keys, sig) that connect all agreeing members of each bucket."""
     members = classes.select("rep", F.explode("keys").alias("key"))
     centres = members.groupBy("key").agg(F.min_by("rep", F.struct(F.xxhash64("rep", "key"), "rep")).alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
     stars = members.join(centres, "key").where("rep <> centre")
-    pairs = stars.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
+    stars = checkpointed(stars.select("key", "rep", F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")))
     sig = classes.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"))
-    pairs = pairs.join(sig, "a").join(sig.select(F.col("a").alias("b"), F.col("sig_a").alias("sig_b")), "b")
-    return pairs.where(agreeing()("sig_a", "sig_b") >= percent / 100 - MARGIN).select("a", "b")
+    pairs = stars.select("a", "b").distinct().join(sig, "a").join(sig.select(F.col("a").alias("b"), F.col("sig_a").alias("sig_b")), "b")
+    judged = checkpointed(pairs.select("a", "b", (agreeing()("sig_a", "sig_b") < percent / 100 - MARGIN).alias("lost")))
+    tasks = lost_members(stars, judged.where("lost").select("a", "b"), block)
+    met = meet(tasks.join(classes.select("rep", "sig"), "rep"), percent)
+    return judged.where("NOT lost").select("a", "b").unionByName(met)
+
+
+def lost_members(stars: DataFrame, lost: DataFrame, block: int) -> DataFrame:
+    """(task, rep, lost): of each bucket, every pair of a member that its centre lost and another member in some task.
+
+    The lost and the linked members of a bucket of over ``block`` are split into parts, and each part of lost ones
+    meets every part in a task of its own.
+    """
+    flagged = stars.join(lost.withColumn("lost", F.lit(True)), ["a", "b"], "left").select("key", "rep", F.coalesce("lost", F.lit(False)).alias("lost"))
+    counts = flagged.groupBy("key").agg(F.count("*").alias("n"), F.count_if("lost").alias("n_lost")).where("n > 1 AND n_lost > 0")
+    one = F.col("n") <= block
+    parts = F.ceil(F.col("n_lost") / block).cast("int")
+    others = F.when(one, 0).otherwise(F.ceil((F.col("n") - F.col("n_lost")) / block)).cast("int")
+    dealt = flagged.join(counts, "key").select("key", "rep", "lost", parts.alias("parts"), others.alias("others"), one.alias("one"))
+    own = F.when(F.col("lost"), F.pmod(F.xxhash64("rep"), "parts")).when(F.col("one"), 0).otherwise(F.col("parts") + F.pmod(F.xxhash64("rep"), "others"))
+    last = F.col("parts") - 1 + F.when(F.col("lost"), F.col("others")).otherwise(0)
+    met = dealt.select("key", "rep", "lost", own.cast("int").alias("part"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    return met.select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("task"), "rep", "lost")
+
+
+def meet(rows: DataFrame, percent: int) -> DataFrame:
+    """Agreeing pairs (a, b) from rows (task, rep, lost, sig): they connect each lost row with all that agree with it in its task."""
+
+    def pairs(rep: np.ndarray, lost: np.ndarray, sig: np.ndarray) -> Iterator[tuple[int, int]]:
+        forest = Forest(len(rep))
+        for i in np.flatnonzero(lost).tolist():
+            for j in np.flatnonzero(shares(sig, sig[i]) >= percent / 100 - MARGIN).tolist():
+                if forest.join(i, j):
+                    yield min(rep[i], rep[j]), max(rep[i], rep[j])
+
+    def batch_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros((0, BINS), np.uint8)]
+        for batch in batches:  # sorted by task; the last task of a batch may go on in the next
+            new = [*[batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)], unpacked(batch.column(3))]
+            held = [np.concatenate(x) for x in zip(held, new, strict=True)]
+            cuts = np.flatnonzero(np.diff(held[0])) + 1
+            found = []
+            for i, j in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=False):
+                found += pairs(*[x[i:j] for x in held[1:]])
+            yield batch_of(found)
+            if len(cuts):
+                held = [x[cuts[-1] :] for x in held]
+        yield batch_of(list(pairs(*held[1:])))
+
+    return rows.select("task", "rep", "lost", "sig").repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -330,6 +330,52 @@ def test_blocks_change_nothing(spark):
     assert a == sorted(minhash.near_duplicates(docs, 3, 85, block=2).collect())
 
 
+def passage_texts(n):
+    """Texts that are all made of the same passages, and of each a near copy with a tenth of its passages less."""
+    rng = np.random.default_rng(6)
+    passages = [" ".join(f"p{k}w{i}" for i in range(24)) for k in range(100)]
+    picks = [np.sort(rng.choice(100, 65, replace=False)) for _ in range(n)]
+    picks += [np.delete(p, rng.choice(65, 7, replace=False)) for p in picks]
+    return [" ".join(passages[k] for k in p) for p in picks]
+
+
+def roots_of_all_pairs(texts):
+    cache = minhash.WordHashes()
+    sets = [minhash.shingles(t, 3, cache) for t in texts]
+    place = {v: k for k, v in enumerate(np.unique(np.concatenate(sets)).tolist())}
+    has = np.zeros((len(sets), len(place)), np.float32)
+    for i, s in enumerate(sets):
+        has[i, [place[v] for v in s.tolist()]] = 1
+    size, both = has.sum(axis=1), has @ has.T
+    forest = minhash.Forest(len(sets))
+    for i, j in np.argwhere(100 * both >= 85 * (size[:, None] + size - both)).tolist():
+        forest.join(i, j)
+    return [forest.find(i) for i in range(len(sets))]
+
+
+def test_links_survive_common_passages(spark):
+    texts = passage_texts(1000)
+    want = roots_of_all_pairs(texts)
+    assert len(texts) - len(set(want)) >= 900
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, 3, 85).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_lost_members_meet_in_blocks(spark):
+    rng = np.random.default_rng(7)
+    lost = {i: bool(rng.random() < 0.5) for i in range(1, 40)}
+    stars = spark.createDataFrame([(7, i, 0, i) for i in lost], "key long, rep long, a long, b long")
+    far = spark.createDataFrame([(0, i) for i in lost if lost[i]], "a long, b long")
+    for block in (4, 100):
+        tasks = defaultdict(set)
+        for r in minhash.lost_members(stars, far, block).collect():
+            assert r["lost"] == lost[r["rep"]]
+            tasks[r["task"]].add(r["rep"])
+        assert (len(tasks) == 1) == (block == 100)
+        assert all(any({i, j} <= t for t in tasks.values()) for i in lost for j in lost if lost[i])
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(1)
     common, a, b = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (800, 100, 100))
