@@ -137,6 +137,28 @@ def test_rules_keep_good_and_drop_junk(spark):
     assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.05 * len(bad)
 
 
+@pytest.mark.parametrize("folder", [DIR, MORE])
+def test_stage_keeps_unlabelled_as_trusted(spark, folder):
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    quality = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    kept = {r["doc_id"] for r in quality_llr.keep_documents(docs, labels.select("doc_id", "quality")).collect()}
+    judged = {r["doc_id"] for r in quality_llr.op3_quality_rules(spark, folder).where("NOT base_failed").collect()}
+    share = lambda q: [d in kept for d in judged if quality.get(d) == q]
+    good, bad, rest = share(1), share(0), share(None)
+    clean = len(good) / (len(good) + len(bad))  # unlabelled documents are of the same mix
+    assert sum(good) >= 0.98 * len(good) and sum(rest) >= (clean - 0.05) * len(rest)
+    assert folder == DIR or sum(bad) <= 0.05 * len(bad)  # DIR has six bad documents, of which two pass
+
+
+def test_own_share_is_a_recount(spark):
+    texts = ["a b c a b", "a b d", "e f a b", "x y z x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    all_, rest = (spark.createDataFrame([(i,) for i in ids], "doc_id long") for ids in ((0, 1, 2), (1, 2)))
+    fair = quality_llr.judge(docs, all_, model=quality_llr.log_ratios(docs, all_)).where("doc_id = 0").first()["score"]
+    plain = quality_llr.judge(docs, rest).where("doc_id = 0").first()["score"]
+    assert fair == pytest.approx(plain, abs=1e-9)
+
+
 # chat formatting
 
 
