@@ -10,9 +10,12 @@
    A pair at the threshold 0.8 shares no bucket with probability (1 - 0.8 ** 4) ** 32 = 5e-8.
 3. Candidates whose signatures agree in far fewer bins than the threshold asks (``MARGIN`` below, over
    four deviations) go. A centre may be unlike the members that it shares a common passage with, so every
-   member that it lost then meets all others of the bucket by signature (in blocks of ``BUCKET_BLOCK``).
-   Thus any two members of a bucket that agree are connected, whatever the centre. What remains connected
-   is a cluster: it holds all members of its links.
+   member that it lost then meets all others of the bucket by signature. Where that is more than a block
+   of ``BUCKET_BLOCK`` squared, the bucket is first narrowed: its members go on into one bucket for each other
+   band, and only members that share a second band meet there (a pair at 0.8 that shares one band shares no
+   second with probability (1 - 0.8 ** 4) ** 31 = 8e-8). A narrow bucket that is still too large is met in
+   blocks. Thus any two members that agree are connected, whatever the centre. What remains connected is a
+   cluster: it holds all members of its links.
 4. A star does not see every pair. So each cluster is settled exactly, on full sets from whole texts:
    members linked to the best centre join it; every other member is compared with all. Clusters of over
    ``CLUSTER_BLOCK`` classes are split into blocks and all pairs of blocks are settled in tasks of their
@@ -20,13 +23,14 @@
 5. The links' components, by the large-star / small-star alternation, give each class its smallest id.
 
 What is shuffled: a signature and 32 bucket keys per class, a signature per member of a bucket whose
-centre lost members, and the texts of classes that are in a cluster. Meeting all others is work with the
-square of the members that a bucket's centre lost. Hot copies collapse in the first aggregation; ids, links and components stay in tables.
+centre lost members (31 keys more per member of a bucket to be narrowed), and the texts of classes that are
+in a cluster. Hot copies collapse in the first aggregation; ids, links and components stay in tables.
 
 Defined edge cases: null text and text without words have the empty set and stay alone; with fewer
-words than a shingle has, the whole sequence is the one shingle; repeated rows (same id) are one
-document per row of output and link to nothing new; a null id is a document of its own id null, never linked;
-an empty table gives no rows; columns besides doc_id and text are ignored by ``near_duplicates``.
+words than a shingle has, the whole sequence is the one shingle; repeated rows (same id, same text) are one
+document per row of output and link to nothing new; rows of one id with different texts are documents of
+their own that share a name; a null id is a document of its own id null, never linked; an empty table gives
+no rows; columns besides doc_id and text are ignored by ``near_duplicates``.
 """
 
 from __future__ import annotations
@@ -49,7 +53,7 @@ BINS = BANDS * ROWS
 #: How far below the threshold the share of agreeing bins may lie.
 MARGIN = 0.18
 CLUSTER_BLOCK = 1500
-BUCKET_BLOCK = 4096
+BUCKET_BLOCK = 2048
 MAX_ROUNDS = 60
 CACHE = 300_000
 PROBES = 64
@@ -188,23 +192,41 @@ def star_candidates(classes: DataFrame, percent: int, block: int = BUCKET_BLOCK)
     sig = classes.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"))
     pairs = stars.select("a", "b").distinct().join(sig, "a").join(sig.select(F.col("a").alias("b"), F.col("sig_a").alias("sig_b")), "b")
     judged = checkpointed(pairs.select("a", "b", (agreeing()("sig_a", "sig_b") < percent / 100 - MARGIN).alias("lost")))
-    tasks = lost_members(stars, judged.where("lost").select("a", "b"), block)
+    flagged = with_losses(stars, judged.where("lost").select("a", "b"))
+    tasks = in_blocks(narrowed(flagged, classes, block), block)
     met = meet(tasks.join(classes.select("rep", "sig"), "rep"), percent)
     return judged.where("NOT lost").select("a", "b").unionByName(met)
 
 
-def lost_members(stars: DataFrame, lost: DataFrame, block: int) -> DataFrame:
-    """(task, rep, lost): of each bucket, every pair of a member that its centre lost and another member in some task.
+def with_losses(stars: DataFrame, lost: DataFrame) -> DataFrame:
+    """(key, rep, lost, n, n_lost): the members besides the centre of each bucket whose centre lost any, and how many there are."""
+    flagged = stars.join(lost.withColumn("lost", F.lit(True)), ["a", "b"], "left").select("key", "rep", F.coalesce("lost", F.lit(False)).alias("lost"))
+    return counted(flagged)
+
+
+def counted(flagged: DataFrame) -> DataFrame:
+    counts = flagged.groupBy("key").agg(F.count("*").alias("n"), F.count_if("lost").alias("n_lost")).where("n > 1 AND n_lost > 0")
+    return checkpointed(flagged.join(counts, "key"))
+
+
+def narrowed(flagged: DataFrame, classes: DataFrame, block: int) -> DataFrame:
+    """The same rows, where members of too large a bucket go into a bucket for each other band instead."""
+    large = F.col("n") * F.col("n_lost") > block * block
+    bands = flagged.where(large).select("key", "rep", "lost").join(classes.select("rep", "keys"), "rep").select("key", "rep", "lost", F.explode("keys").alias("other")).where("other <> key")
+    both = bands.groupBy(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "rep").agg(F.max("lost").alias("lost"))
+    return flagged.where(~large).unionByName(counted(both))
+
+
+def in_blocks(flagged: DataFrame, block: int) -> DataFrame:
+    """(task, rep, lost): of each bucket, every pair of a lost member and another member in some task.
 
     The lost and the linked members of a bucket of over ``block`` are split into parts, and each part of lost ones
     meets every part in a task of its own.
     """
-    flagged = stars.join(lost.withColumn("lost", F.lit(True)), ["a", "b"], "left").select("key", "rep", F.coalesce("lost", F.lit(False)).alias("lost"))
-    counts = flagged.groupBy("key").agg(F.count("*").alias("n"), F.count_if("lost").alias("n_lost")).where("n > 1 AND n_lost > 0")
     one = F.col("n") <= block
     parts = F.ceil(F.col("n_lost") / block).cast("int")
     others = F.when(one, 0).otherwise(F.ceil((F.col("n") - F.col("n_lost")) / block)).cast("int")
-    dealt = flagged.join(counts, "key").select("key", "rep", "lost", parts.alias("parts"), others.alias("others"), one.alias("one"))
+    dealt = flagged.select("key", "rep", "lost", parts.alias("parts"), others.alias("others"), one.alias("one"))
     own = F.when(F.col("lost"), F.pmod(F.xxhash64("rep"), "parts")).when(F.col("one"), 0).otherwise(F.col("parts") + F.pmod(F.xxhash64("rep"), "others"))
     last = F.col("parts") - 1 + F.when(F.col("lost"), F.col("others")).otherwise(0)
     met = dealt.select("key", "rep", "lost", own.cast("int").alias("part"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
@@ -342,33 +364,82 @@ def settled(members: DataFrame, words: int, percent: int) -> DataFrame:
     return members.groupBy("task").applyInPandas(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = CLUSTER_BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of ``docs``."""
+def digest_of(words: int):
+    """The digest of a text's shingle set; null for the empty set."""
+
+    @F.arrow_udf("binary")
+    def digest(texts: pa.Array) -> pa.Array:
+        cache = WordHashes()
+        sets = (shingles(t.as_py(), words, cache) for t in texts)
+        return pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
+
+    return digest
+
+
+def linked_classes(docs: DataFrame, words: int, percent: int, block: int, bucket_block: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n_shingles, digest), and classes (digest, least, root): its smallest id, and one value per component.
+
+    A class is a node of the graph by its smallest id; of several classes with one smallest id (rows of one
+    id with different texts) all but one by a hash of id and digest.
+    """
     rows = checkpointed(sketches(docs, words))
-    named = checkpointed(
-        rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("keys", "sig"), "doc_id").alias("s")).select("digest", "rep", "s.keys", "s.sig")
-    )
-    clusters = components(star_candidates(named, percent))
+    sets = rows.where("digest IS NOT NULL AND doc_id IS NOT NULL")
+    named = sets.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min_by(F.struct("keys", "sig"), "doc_id").alias("s"))
+    shared = sets.groupBy("doc_id").agg(F.min("digest").alias("first"), F.max("digest").alias("last")).where("first <> last").select(F.col("doc_id").alias("least"), "first")
+    node = F.when(F.col("first").isNull() | (F.col("first") == F.col("digest")), F.col("least")).otherwise(F.xxhash64("least", "digest"))
+    named = checkpointed(named.join(shared, "least", "left").select("digest", "least", F.col("first").isNotNull().alias("shares"), node.alias("rep"), "s.keys", "s.sig"))
+    clusters = components(star_candidates(named.select("rep", "keys", "sig"), percent, bucket_block))
     sized = clusters.join(clusters.groupBy("root").agg(F.count("*").alias("n")), "root")
     blocks = F.ceil(F.col("n") / block).cast("int")
-    placed = checkpointed(sized.select("node", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("part")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("node IS NOT NULL").join(placed, "node")
+    placed = sized.select("node", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("part"))
+    placed = checkpointed(placed.join(named.select(F.col("rep").alias("node"), "least", "digest", "shares"), "node"))
+    lean = docs.select(F.col("doc_id").cast("long").alias("least"), "text").where("least IS NOT NULL")
+    texts = lean.join(placed.where("NOT shares").drop("digest", "shares"), "least")
+    if not placed.where("shares").isEmpty():
+        own = lean.join(placed.where("shares").select("least").distinct(), "least", "left_semi").withColumn("digest", digest_of(words)("text"))
+        texts = texts.unionByName(own.join(placed.where("shares").drop("shares"), ["least", "digest"]).drop("digest"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     tasks = texts.select("root", "node", "text", "part", other).select(
         F.struct("root", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).alias("task"), "part", F.col("node").alias("rep"), "text"
     )
     roots = components(settled(tasks, words, percent))
-    by_class = named.select("digest", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("component"))
-    out = rows.select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left")
+    classes = named.select("digest", "least", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "least", F.coalesce("root", "rep").alias("root"))
+    return rows.select("doc_id", "n_shingles", "digest"), classes
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = CLUSTER_BLOCK, bucket_block: int = BUCKET_BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per row of ``docs``."""
+    rows, classes = linked_classes(docs, words, percent, block, bucket_block)
+    least = classes.groupBy("root").agg(F.min("least").alias("component"))
+    by_class = classes.join(least, "root").select("digest", "component")
+    # rows without a set need no class and would meet in one task of the join; a hot digest is split by AQE's skew join
+    found = rows.where("digest IS NOT NULL").join(by_class, "digest", "left").select("doc_id", "n_shingles", "component")
+    out = found.unionByName(rows.where("digest IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One document of each group, with its own columns; of rows with one id, one stays."""
-    kept = near_duplicates(docs, words, percent).where("kept").select("doc_id").distinct()
-    whole = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return whole.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """One document of each group, with its own columns: the one of the smallest id, then digest.
+
+    Of equal rows one stays; rows of one id whose texts differ stay each, unless they are near duplicates
+    (of those, and of rows of one id without words, the first by its columns). Rows with a null id stay.
+    """
+    rows, classes = linked_classes(docs, words, percent, CLUSTER_BLOCK, BUCKET_BLOCK)
+    firsts = classes.groupBy("root").agg(F.min(F.struct("least", "digest")).alias("f")).select(F.col("f.least").alias("doc_id"), F.col("f.digest").alias("digest"))
+    known = rows.where("doc_id IS NOT NULL")
+    kept = checkpointed(firsts.unionByName(known.where("digest IS NULL").select("doc_id", "digest").distinct()))
+    often = checkpointed(known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    out = docs.join(kept.select("doc_id").join(often, "doc_id", "left_anti"), "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    if not often.isEmpty():
+        columns = [f"`{c}`" for c in docs.columns]
+        again = docs.join(kept.join(often, "doc_id").select("doc_id"), "doc_id", "left_semi")
+        packed = again.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of(words)("text").alias("digest"), F.struct(*columns).alias("row"), F.to_json(F.struct(*columns)).alias("order"))
+        chosen = packed.groupBy("doc_id", "digest").agg(F.min_by("row", "order").alias("row")).alias("c")
+        pairs = kept.select(F.col("doc_id").alias("id"), F.col("digest").alias("d"))
+        chosen = chosen.join(pairs, (F.col("doc_id") == F.col("id")) & F.col("digest").eqNullSafe(F.col("d")), "left_semi").select("row")
+        out = out.unionByName(chosen.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]))
+    return out.select(*[f"`{c}`" for c in docs.columns])
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -391,13 +391,47 @@ def test_lost_members_meet_in_blocks(spark):
     far = spark.createDataFrame([(0, i) for i in lost if lost[i]], "a long, b long")
     for block in (4, 100):
         tasks = defaultdict(set)
-        for r in minhash.lost_members(stars, far, block).collect():
+        for r in minhash.in_blocks(minhash.with_losses(stars, far), block).collect():
             assert r["lost"] == lost[r["rep"]]
             tasks[r["task"]].add(r["rep"])
         assert (len(tasks) == 1) == (block == 100)
         assert all(any({i, j} <= t for t in tasks.values()) for i in lost for j in lost if lost[i])
 
 
+def slot_texts(n, pairs):
+    """Texts of 30 slots with one of two passages in each, so that strangers share half; ``pairs`` more copy one with words changed."""
+    rng = np.random.default_rng(8)
+    passages = [[" ".join(f"s{s}v{v}w{i}" for i in range(20)) for v in (0, 1)] for s in range(30)]
+    texts = [" ".join(passages[s][v] for s, v in enumerate(rng.integers(0, 2, 30))) for _ in range(n)]
+    for k in range(pairs):
+        own = texts[k].split(" ")
+        for at in rng.choice(len(own), 13, replace=False):
+            own[at] = f"changed{k}x{at}"
+        texts.append(" ".join(own))
+    return texts
+
+
+def test_narrowed_buckets_lose_nothing(spark):
+    texts = slot_texts(1500, 300)
+    want = roots_of_all_pairs(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for bucket_block in (16, 4096):
+        got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, 3, 85, bucket_block=bucket_block).collect()}
+        assert sum(got[i] == r for i, r in enumerate(want)) >= len(texts) - 2
+    assert len(texts) - len(set(want)) >= 150
+
+
+def test_one_id_with_many_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a, "p"), (1, b, "q"), (1, b, "q"), (2, b + " more", "r"), (3, c, "s"), (1, None, "t"), (None, a, "u"), (4, " ", "v"), (4, "", "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest string").repartition(3)
+    got = sorted(minhash.keep_documents(docs).collect(), key=repr)
+    assert got == sorted(minhash.keep_documents(docs.repartition(2)).collect(), key=repr)
+    assert sorted(r["digest"] for r in got) == ["p", "q", "s", "t", "u", "v"]
+    named = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in minhash.near_duplicates(docs, 5, 80).collect()}
+    assert named[2, 57] == 1 and named[3, 56] == 3 and named[None, 56] is None
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(1)
     common, a, b = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (800, 100, 100))
