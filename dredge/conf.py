@@ -19,6 +19,11 @@ def parse_size(text: str) -> int:
 
 @dataclass(frozen=True)
 class EngineConf:
+    """Limits of files and of the index, the pace of changes, and defaults of searches.
+
+    engine: auto, disk or memory: whether a command reads an index; auto takes one from ``disk_engine_mb`` on.
+    """
+
     max_filesize_mb: int = 2
     max_index_mb: int = 256
     debounce_ms: int = 200
@@ -29,9 +34,16 @@ class EngineConf:
     rebuild_threshold: int = 20
     shard_target_mb: int = 80
     shard_min_mb: int = 32
+    overflow: int = 10_000
+    engine: str = "auto"
+    disk_engine_mb: int = 10
     exclude: tuple[str, ...] = field(default=())
     gitignore: bool = False
 
+    def uses_index(self, total_bytes: int) -> bool:
+        """Whether a corpus of so many bytes is worth an index."""
+        return self.engine == "disk" or (self.engine == "auto" and total_bytes >= self.disk_engine_mb << 20)
+
     @classmethod
     def load(cls, env: dict[str, str] | None = None) -> EngineConf:
         """The defaults with what the environment sets; values that don't parse are left alone."""
@@ -45,6 +57,9 @@ class EngineConf:
                 values[f.name] = tuple(x for x in raw.split(",") if x)
             elif f.name == "gitignore":
                 values[f.name] = raw.lower() in ("1", "true", "yes", "on")
+            elif f.name == "engine":
+                if raw in ("auto", "disk", "memory"):
+                    values[f.name] = raw
             elif raw.lstrip("-").isdigit():
                 values[f.name] = int(raw)
         return cls(**values)

@@ -148,6 +148,12 @@ def ignored(path: Column, rules: Iterable[str | tuple[str, str]]) -> Column:
     return path.rlike(ignore_regex(rules))
 
 
+def rule_pattern(rule: str) -> str | None:
+    """What a rule matches of a path relative to its ignore file's folder; None for no rule."""
+    made = ignore_rule(rule)
+    return any_of(p for p in made if p) if made else None
+
+
 def is_ignored(path: str, is_dir: bool, rules: Iterable[str]) -> bool:
     """The same test for one path, which may be a folder (folders match folder-only rules)."""
     if re.search(GIT, path):

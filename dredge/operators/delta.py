@@ -13,11 +13,17 @@ def latest(delta: DataFrame) -> DataFrame:
     return last.select("path", *[F.col(f"v.{c}").alias(c) for c in ("deleted", "seq", *(r for r in rest if r != "deleted"))])
 
 
+def with_mtime(files: DataFrame) -> DataFrame:
+    """Rows with a column mtime_ns: as it is, or null if there is none."""
+    return files if "mtime_ns" in files.columns else files.withColumn("mtime_ns", F.lit(None).cast("long"))
+
+
 def overlay(base: DataFrame, delta: DataFrame) -> DataFrame:
-    """Files as of now: the base without any changed path, and the changed files that live."""
+    """Files (path, size, mtime_ns, text) as of now: the base without any changed path, and the changed files that live."""
     now = latest(delta)
-    live = now.where("NOT deleted").select("path", "size", "text")
-    return base.join(now.select("path"), "path", "left_anti").select("path", "size", "text").unionByName(live)
+    live = with_mtime(now.where("NOT deleted"))
+    columns = ["path", "size", "mtime_ns", "text"]
+    return with_mtime(base.join(now.select("path"), "path", "left_anti")).select(columns).unionByName(live.select(columns))
 
 
 def below(path: Column, folder: str) -> Column:
@@ -55,6 +61,11 @@ def pending(delta: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def containing_root(paths: DataFrame, roots: DataFrame) -> DataFrame:
-    """(path, root): the longest root that is the path or a folder above it, or null."""
-    fits = (F.col("path") == F.col("root")) | F.col("path").startswith(F.concat(F.col("root"), F.lit("/")))
-    return paths.join(F.broadcast(roots.select("root")) if roots.isLocal() else roots.select("root"), fits, "left").groupBy("path").agg(F.max_by("root", F.length("root")).alias("root"))
+    """(path, root): the longest root that is the path or a folder above it, or null; each path once.
+
+    A path is joined by each of its own prefixes, so the join is on equal keys.
+    """
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    at = paths.select("path", F.explode(above).alias("root")).join(roots.select("root").distinct().withColumn("found", F.lit(True)), "root", "left")
+    return at.groupBy("path").agg(F.max_by(F.when(F.col("found"), F.col("root")), F.when(F.col("found"), F.length("root"))).alias("root"))

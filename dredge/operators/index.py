@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-import json
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dredge.operators.delta import dirty_shards, latest, overlay
+from dredge.operators.delta import dirty_shards, latest, overlay, with_mtime
+from dredge.operators.ignores import TREE_FILE, load_rules
 from dredge.operators.lines import Matcher
-from dredge.operators.symbols import DEF_COLUMNS, definitions
+from dredge.operators.ranged import in_ranges, running
+from dredge.operators.symbols import DEF_COLUMNS, definitions, find_references
 from dredge.plans.pattern import flags_free
-from dredge.plans.search import search
+from dredge.plans.search import scoped, search, united
 from dredge.schemas import DEFS
+from dredge.storage import deleted, file_system
 
 SHARD_TARGET = 80 << 20
 SHARD_MIN = 32 << 20
@@ -75,31 +78,42 @@ def candidates(post: DataFrame, keys: list[int]) -> DataFrame:
     return hit.where(F.col("n") == len(keys)).select("path")
 
 
+#: Bytes that one task packs, as a multiple of a shard's size: beyond, shards are packed by ranges of paths.
+RANGE_SHARDS = 1000
+#: Shard numbers set aside for each range.
+SHARDS_A_RANGE = 1_000_000
+
+
 def pack_shards(files: DataFrame, target: int = SHARD_TARGET, least: int = SHARD_MIN) -> DataFrame:
     """(path, shard): files in path order, a shard closed once it has ``target`` bytes; a last shard of under
     ``least`` bytes joins the one before.
 
-    The fold needs all sizes in order, so (path, size) alone go through one task; it streams and holds
-    only the last shard's paths.
+    The fold goes over (path, size) of a range of paths of about ``RANGE_SHARDS`` shards, one task each; a
+    corpus of no more is one range. It streams and holds only the last shard's paths.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, filled, held = 0, 0, []
+        first, shard, filled, held = 0, 0, 0, []
         for batch in batches:
             done: list[tuple[str, int]] = []
-            for path, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for path, size, part in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                first = part * SHARDS_A_RANGE
                 held.append(path)
                 filled += size
                 if filled >= target:
-                    done += [(p, shard) for p in held]
+                    done += [(p, first + shard) for p in held]
                     shard, filled, held = shard + 1, 0, []
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.string()), pa.array([k for _, k in done], pa.int32())], ["path", "shard"])
         if held:
             own = shard - 1 if filled < least and shard else shard
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array([own] * len(held), pa.int32())], ["path", "shard"])
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array([first + own] * len(held), pa.int32())], ["path", "shard"])
 
-    return files.select("path", "size").repartition(1).sortWithinPartitions("path").mapInArrow(run, "path string, shard int")
+    sizes = files.select("path", F.least("size", F.lit(target)).alias("size"))
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    ranges = max(1, -(-total // (target * RANGE_SHARDS)))
+    dealt = files.select("path", "size").repartitionByRange(ranges, "path") if ranges > 1 else files.select("path", "size").repartition(1)
+    return dealt.withColumn("part", F.spark_partition_id()).sortWithinPartitions("path").mapInArrow(run, "path string, shard int")
 
 
 def manifest(sharded: DataFrame) -> DataFrame:
@@ -116,9 +130,16 @@ def shards_with(post: DataFrame, keys: list[int]) -> DataFrame:
 
 
 def shard_of(paths: DataFrame, shards: DataFrame) -> DataFrame:
-    """(path, shard): the shard whose path range holds each path, or -1. Ranges don't overlap."""
-    at = shards.select("path_min", "path_max", "shard")
-    return paths.join(at, (F.col("path") >= F.col("path_min")) & (F.col("path") <= F.col("path_max")), "left").select("path", F.coalesce("shard", F.lit(-1)).alias("shard"))
+    """(path, shard): the shard whose path range holds each path, or -1. Ranges don't overlap.
+
+    Paths and the ranges' starts are put in one order; the last start before a path tells its shard. No row
+    meets another: a running maximum does it.
+    """
+    starts = shards.select(F.col("path_min").alias("path"), F.struct(F.col("path_min").alias("start"), F.col("path_max").alias("end"), "shard").alias("r"))
+    none = F.lit(None).cast(dict(starts.dtypes)["r"])
+    ranged = in_ranges(starts.withColumn("asked", F.lit(0)).unionByName(paths.select("path", none.alias("r"), F.lit(1).alias("asked"))), ["path"])
+    at = running(ranged, ["path", "asked"], "at", F.max("r"), F.max("r"), F.max("total"), F.greatest("before", "inside")).where("asked = 1")
+    return at.select("path", F.when(F.col("path") <= F.col("at.end"), F.col("at.shard")).otherwise(F.lit(-1)).alias("shard"))
 
 
 def indexed_search(files: DataFrame, post: DataFrame, pattern: str, nocase: bool = False, fixed: bool = False, **filters) -> DataFrame:
@@ -129,86 +150,125 @@ def indexed_search(files: DataFrame, post: DataFrame, pattern: str, nocase: bool
     return search(subject, pattern, nocase=nocase, fixed=fixed, **filters)
 
 
+#: The most shards that a search names in its plan; beyond, they are a join.
+NAMED_SHARDS = 10_000
+
+
 class Index:
     """An index on disk: Parquet tables files, postings and defs, partitioned by generation and shard.
 
-    The pointer file names the current version and, for each shard, the generation that holds it. Building
-    and compacting write a new generation and then replace the pointer, so readers see whole versions;
-    generations that no shard needs are deleted later, by ``clean``.
+    A version is a Parquet table ``versions/<number>`` of (shard, gen): the generation that holds each shard.
+    Building and compacting write a new generation and then the next version under another name, which a
+    rename makes visible as a whole; the highest number is current. A reader keeps the version that it began
+    with; generations and versions that are no longer current are deleted later, by ``clean``.
     """
 
-    TABLES = ("files", "postings", "defs")
+    TABLES = {"files": "path string, size long, mtime_ns long, text string", "postings": "path string, tri int", "defs": DEFS}
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, progress: Callable[[str], None] | None = None):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self.progress = progress or (lambda step: None)
 
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path
-        return path(self.folder).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+    def _versions(self) -> list[int]:
+        fs, path = file_system(self.spark, self.folder)
+        base = path(f"{self.folder}/versions")
+        names = [s.getPath().getName() for s in fs.listStatus(base)] if fs.exists(base) else []
+        return sorted(int(n) for n in names if re.fullmatch(r"\d+", n))
 
-    def state(self) -> dict:
-        """{version, shards: {shard: generation}} of the current version."""
-        fs, path = self._fs()
-        if not fs.exists(path(f"{self.folder}/CURRENT")):
+    def exists(self) -> bool:
+        return bool(self._versions())
+
+    def state(self) -> str:
+        """The folder of the current version."""
+        versions = self._versions()
+        if not versions:
             raise FileNotFoundError(self.folder)
-        return json.loads(self.spark.read.text(f"{self.folder}/CURRENT").first()[0])
-
-    def _point(self, shards: dict[str, str]) -> str:
-        fs, path = self._fs()
-        version = uuid.uuid4().hex
-        fresh, pointer = path(f"{self.folder}/CURRENT.{version}"), path(f"{self.folder}/CURRENT")
-        out = fs.create(fresh, True)
-        out.write(bytearray(json.dumps({"version": version, "shards": shards}).encode()))
-        out.close()
-        if fs.exists(pointer):
-            fs.delete(pointer, False)
-        fs.rename(fresh, pointer)
-        return version
-
-    def _write(self, sharded: DataFrame) -> tuple[str, list[str]]:
-        """A new generation of rows with a shard; its name and shards."""
+        return f"{self.folder}/versions/{versions[-1]}"
+
+    def shards(self, state: str | None = None) -> DataFrame:
+        """(shard, gen) of a version."""
+        return self.spark.read.schema("shard int, gen string").parquet(state or self.state())
+
+    def _point(self, shards: DataFrame, after: int) -> str:
+        """Make (shard, gen) the version after number ``after``; raises if another writer was faster."""
+        fs, path = file_system(self.spark, self.folder)
+        fresh, final = f"{self.folder}/versions/_{uuid.uuid4().hex}", f"{self.folder}/versions/{after + 1}"
+        shards.select(F.col("shard").cast("int"), "gen").coalesce(1).write.parquet(fresh)
+        if fs.exists(path(final)) or not fs.rename(path(fresh), path(final)):
+            raise RuntimeError("another writer has changed the index")
+        return final
+
+    def _write(self, sharded: DataFrame) -> tuple[str, DataFrame]:
+        """A new generation of rows with a shard; its name and (shard, gen)."""
         gen = f"g{uuid.uuid4().hex}"
         out = {name: f"{self.folder}/{name}/gen={gen}" for name in self.TABLES}
         sharded.select("path", "size", "mtime_ns", "text", "shard").repartition("shard").sortWithinPartitions("shard", "path").write.partitionBy("shard").parquet(out["files"])
-        stored = self.spark.read.parquet(out["files"])
+        self.progress("files")
+        stored = self.spark.read.schema(f"{self.TABLES['files']}, shard int").parquet(out["files"])
         postings(stored, "shard").repartition("shard").sortWithinPartitions("shard", "tri", "path").write.partitionBy("shard").parquet(out["postings"])
+        self.progress("postings")
         definitions(stored).join(stored.select("path", "shard"), "path").repartition("shard").write.partitionBy("shard").parquet(out["defs"])
-        return gen, [str(r["shard"]) for r in stored.select("shard").distinct().collect()]
+        self.progress("defs")
+        return gen, stored.select("shard", F.lit(gen).alias("gen")).distinct()
 
     def build(self, files: DataFrame, target: int = SHARD_TARGET, least: int = SHARD_MIN) -> str:
         """A full build of rows of path, size, mtime_ns, text; returns the version."""
-        gen, shards = self._write(files.join(pack_shards(files, target, least), "path"))
-        return self._point(dict.fromkeys(shards, gen))
-
-    def table(self, name: str, state: dict | None = None) -> DataFrame:
-        """A table of a version (the current one if none is pinned)."""
-        fs, path = self._fs()
-        parts = [f"{self.folder}/{name}/gen={g}/shard={s}" for s, g in (state or self.state())["shards"].items()]
-        parts = [p for p in parts if fs.exists(path(p))]  # a shard without any definition has none
-        if parts:
-            return self.spark.read.option("basePath", f"{self.folder}/{name}").parquet(*parts).drop("gen")
-        empty = {"files": "path string, size long, mtime_ns long, text string, shard int", "postings": "path string, tri int, shard int", "defs": DEFS + ", shard int"}
-        return self.spark.createDataFrame([], empty[name])
-
-    def manifest(self, state: dict | None = None) -> DataFrame:
-        return manifest(self.table("files", state))
+        after = max(self._versions(), default=0)
+        _, shards = self._write(with_mtime(files).join(pack_shards(files, target, least), "path"))
+        return self._point(shards, after)
 
-    def search(self, pattern: str, nocase: bool = False, fixed: bool = False, delta: DataFrame | None = None, **filters) -> DataFrame:
-        """Shards without the pattern's trigrams are pruned as partitions, then files by posting.
+    def table(self, name: str, state: str | None = None) -> DataFrame:
+        """A table of a version (the current one if none is pinned).
 
-        Files with a change in ``delta`` are searched as they are now, without the index.
+        The generations in use are as many as builds and compactions since the last full one; their folders
+        are read as they are, and a join with the version's shards leaves out the shards that were replaced.
         """
-        state = self.state()
-        keys = required_keys(Matcher(pattern, fixed, nocase))
+        shards = self.shards(state)
+        gens = [r["gen"] for r in shards.select("gen").distinct().collect()]
+        schema = f"{self.TABLES[name]}, gen string, shard int"
+        if not gens:
+            return self.spark.createDataFrame([], schema).drop("gen")
+        rows = self.spark.read.schema(schema).option("basePath", f"{self.folder}/{name}").parquet(*[f"{self.folder}/{name}/gen={g}" for g in gens])
+        return rows.drop("gen") if len(gens) == 1 else rows.join(shards, ["shard", "gen"], "left_semi").drop("gen")
+
+    def manifest(self, state: str | None = None) -> DataFrame:
+        return manifest(self.table("files", state))
+
+    def candidates(self, keys: list[int], state: str | None = None) -> DataFrame:
+        """The files (with shard) that hold all the trigrams: shards without them are pruned as partitions, then files by posting."""
         files, post = self.table("files", state), self.table("postings", state)
-        if keys:
-            shards = [r["shard"] for r in shards_with(post, keys).collect()]  # as many as shards at most
-            files, post = files.where(F.col("shard").isin(shards)), post.where(F.col("shard").isin(shards))
-            files = files.join(candidates(post, keys), "path", "left_semi")
-        if delta is not None:
-            files = overlay(files, delta)
-        return search(files, pattern, nocase=nocase, fixed=fixed, **filters)
+        if not keys:
+            return files
+        hit = shards_with(post, keys)
+        few = [r["shard"] for r in hit.limit(NAMED_SHARDS + 1).collect()]
+        if len(few) <= NAMED_SHARDS:
+            files, post = files.where(F.col("shard").isin(few)), post.where(F.col("shard").isin(few))
+        else:
+            files, post = files.join(hit, "shard", "left_semi"), post.join(hit, "shard", "left_semi")
+        return files.join(candidates(post, keys), "path", "left_semi")
+
+    def _subject(self, keys: list[int], delta: DataFrame | None, filters: dict) -> tuple[DataFrame, dict]:
+        """The files to read as of now, and the filters with the rules of all ignore files."""
+        state = self.state()
+        if filters.get("gitignore") is True:
+            listed = self.table("files", state).where(F.col("path").endswith(TREE_FILE))
+            filters = filters | {"gitignore": load_rules(listed if delta is None else overlay(listed, delta))}
+        files = self.candidates(keys, state)
+        return files if delta is None else overlay(files, delta), filters
+
+    def search(self, pattern: str, nocase: bool = False, fixed: bool = False, delta: DataFrame | None = None, rest: DataFrame | None = None, limit: int = 0, **filters) -> DataFrame:
+        """Search results as of ``plans.search``, read through the index.
+
+        Files with a change in ``delta`` are searched as they are now, without the index. ``rest`` are files
+        that are not indexed (too large, or beyond the budget); their results come after the others.
+        """
+        files, filters = self._subject(required_keys(Matcher(pattern, fixed, nocase)), delta, filters)
+        if rest is not None and delta is not None:
+            rest = rest.join(latest(delta).select("path"), "path", "left_anti")
+        options = dict(nocase=nocase, fixed=fixed, **filters)
+        if rest is None:
+            return search(files, pattern, limit=limit, **options)
+        return united(search(files, pattern, **options), search(rest, pattern, **options), limit)
 
     def definitions(self, delta: DataFrame | None = None) -> DataFrame:
         """All definitions; those of changed files are read from the changes."""
@@ -218,45 +278,55 @@ class Index:
         now = latest(delta)
         return stored.join(now.select("path"), "path", "left_anti").select(*DEF_COLUMNS).unionByName(definitions(now.where("NOT deleted")))
 
+    def references(self, name: str, delta: DataFrame | None = None, limit: int = 0, **filters) -> DataFrame:
+        """Uses of a name in (path, line) order, the first ``limit`` of them: only files with its trigrams are read."""
+        if not name:
+            raise ValueError("a name is needed")
+        files, filters = self._subject([int(k) for k in trigram_keys(name.encode())], delta, filters)
+        found = find_references(scoped(files, **filters), name)
+        return found.limit(limit) if limit else found
+
     def compact(self, delta: DataFrame, threshold: int = 20) -> list[int]:
         """Write shards with enough changes anew; new files become a shard of their own. Returns the shards.
 
         Changes of those shards are then in the index; applying them once more does no harm, so they may
         be dropped from the delta at any later time (``delta.pending``).
         """
+        after = max(self._versions(), default=0)
         state = self.state()
         files = self.table("files", state)
-        hit = sorted(r["shard"] for r in dirty_shards(files, delta, threshold).collect())  # as many as shards at most
+        hit = sorted(r["shard"] for r in dirty_shards(files, delta, threshold).collect())  # as many as changes / threshold at most
         if not hit:
             return []
-        fresh = max([-1, *map(int, state["shards"])]) + 1
+        shards = self.shards(state)
+        fresh = (shards.agg(F.max("shard")).first()[0] or 0) + 1
         own = files.select("path", F.col("shard").alias("_own"))
-        live = latest(delta).where("NOT deleted").join(own, "path", "left").withColumn("_own", F.coalesce("_own", F.lit(-1))).where(F.col("_own").isin(hit))
-        live = live.select("path", "size", F.lit(0).cast("long").alias("mtime_ns"), "text", F.when(F.col("_own") < 0, F.lit(fresh)).otherwise(F.col("_own")).cast("int").alias("shard"))
+        live = with_mtime(latest(delta)).where("NOT deleted").join(own, "path", "left").withColumn("_own", F.coalesce("_own", F.lit(-1))).where(F.col("_own").isin(hit))
+        live = live.select("path", "size", "mtime_ns", "text", F.when(F.col("_own") < 0, F.lit(fresh)).otherwise(F.col("_own")).cast("int").alias("shard"))
         kept = files.where(F.col("shard").isin(hit)).join(latest(delta).select("path"), "path", "left_anti").select("path", "size", "mtime_ns", "text", "shard")
-        gen, shards = self._write(kept.unionByName(live))
-        rest = {s: g for s, g in state["shards"].items() if int(s) not in hit}
-        self._point(rest | dict.fromkeys(shards, gen))
+        _, written = self._write(kept.unionByName(live))
+        self._point(shards.where(~F.col("shard").isin(hit)).unionByName(written), after)
         return hit
 
     def clean(self) -> list[str]:
-        """Delete generations that no shard of the current version is in; their names."""
-        fs, path = self._fs()
-        used, gone = {f"gen={g}" for g in self.state()["shards"].values()}, set()
+        """Delete generations that no shard of the current version is in, and older versions; the generations' names."""
+        fs, path = file_system(self.spark, self.folder)
+        used, gone = {f"gen={r['gen']}" for r in self.shards().select("gen").distinct().collect()}, set()
         for name in self.TABLES:
             base = path(f"{self.folder}/{name}")
             for s in fs.listStatus(base) if fs.exists(base) else []:
                 if s.getPath().getName() not in used:
                     gone.add(s.getPath().getName().removeprefix("gen="))
                     fs.delete(s.getPath(), True)
+        for number in self._versions()[:-1]:
+            fs.delete(path(f"{self.folder}/versions/{number}"), True)
         return sorted(gone)
 
     def size(self) -> int:
         """Bytes on disk."""
-        fs, path = self._fs()
+        fs, path = file_system(self.spark, self.folder)
         return fs.getContentSummary(path(self.folder)).getLength()
 
     def forget(self) -> bool:
         """Delete the index; whether there was one."""
-        fs, path = self._fs()
-        return fs.delete(path(self.folder), True)
+        return deleted(self.spark, self.folder)

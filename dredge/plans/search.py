@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from dredge.conf import parse_size
 from dredge.functions import paths
 from dredge.functions.text import window
+from dredge.operators.ignores import load_rules, without_ignored
 from dredge.operators.lines import Matcher, lines, matching_lines, matching_spans, split_lines
 from dredge.plans.pattern import BadPattern
 from dredge.sources.corpus import searchable
@@ -24,7 +25,7 @@ def scoped(
     globs: Sequence[str] = (),
     exclude: Sequence[str] = (),
     include: Sequence[str] = (),
-    gitignore: Sequence = (),
+    gitignore: Sequence | DataFrame | bool = (),
     hidden: bool = False,
     max_filesize: int | str | None = None,
     text: bool = False,
@@ -32,7 +33,8 @@ def scoped(
     """The files that a request looks at, with ``path`` relative to the subtree and ``_root_path`` as it was.
 
     Hidden, glob and exclude/include tests see the relative path, ignore rules the whole one. A file that
-    ``include`` names is kept though it is excluded or ignored.
+    ``include`` names is kept though it is excluded or ignored. gitignore: rules as lines, as a table of
+    ``operators.ignores``, or True for those of the ignore files among ``files``.
     """
     out = searchable(files, text)
     whole = F.col("path")
@@ -52,7 +54,13 @@ def scoped(
         out = out.where(kept)
     if globs:
         out = out.where(paths.glob_match(path, globs))
-    if gitignore:
+    if gitignore is True:
+        gitignore = load_rules(files.select("path", "text"))
+    if isinstance(gitignore, DataFrame):
+        git = paths.ignored(F.col("_root_path"), [])
+        out = out.where(~git | paths.any_glob(path, include) if include else ~git)
+        out = without_ignored(out, gitignore, include, "_root_path")
+    elif gitignore:
         drop = paths.ignored(F.col("_root_path"), gitignore)
         out = out.where(~drop | paths.any_glob(path, include) if include else ~drop)
     return out
@@ -129,6 +137,18 @@ def done(matches: DataFrame, limit: int = 0) -> DataFrame:
     return shown.withColumn("truncated", total.scalar() > limit)
 
 
+def united(indexed: DataFrame, rest: DataFrame, limit: int = 0) -> DataFrame:
+    """Results of one search over indexed files, then those over files that are not, each in its order.
+
+    A path that has results in both (a file that has just moved between the sets) keeps the first. The limit
+    holds for matches, over both.
+    """
+    order = [c for c in ("path", "line") if c in indexed.columns]
+    rest = rest.join(indexed.select("path").distinct(), "path", "left_anti").select(indexed.columns)
+    both = indexed.withColumn("_set", F.lit(0)).unionByName(rest.withColumn("_set", F.lit(1))).orderBy("_set", *order)
+    return (both.limit(limit) if limit and "line" in order else both).drop("_set")
+
+
 def as_text(matches: DataFrame, prefix: str = "") -> DataFrame:
     """Lines ``file:line:text`` for a text sink."""
     return matches.select(F.concat(F.lit(prefix), "path", F.lit(":"), F.col("line").cast("string"), F.lit(":"), "text").alias("value"))
@@ -137,3 +157,13 @@ def as_text(matches: DataFrame, prefix: str = "") -> DataFrame:
 def as_json(rows: DataFrame) -> DataFrame:
     """One JSON object per row for a text sink."""
     return rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
+
+
+def as_events(matches: DataFrame, limit: int = 0) -> DataFrame:
+    """JSON objects for a text sink: one per match shown, then the one that ends the search, ``done``."""
+    shown = matches.orderBy("path", "line")
+    shown = shown.limit(limit) if limit else shown
+    rows = shown.select(F.lit(0).alias("_end"), "path", "line", F.to_json(F.struct(F.lit("match").alias("type"), *matches.columns)).alias("value"))
+    last = done(matches, limit)
+    end = last.select(F.lit(1).alias("_end"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("line"), F.to_json(F.struct(F.lit("done").alias("type"), *last.columns)).alias("value"))
+    return rows.unionByName(end).orderBy("_end", "path", "line").select("value")

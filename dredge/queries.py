@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dredge import fixtures
+from dredge import generated as G
 from dredge.conf import EngineConf
 from dredge.functions import paths
 from dredge.functions import text as T
@@ -17,13 +18,14 @@ from dredge.operators import symbols as Y
 from dredge.operators.lines import lines
 from dredge.plans import search as S
 from dredge.sources import corpus as C
+from dredge.storage import shared_folder
 from dredge.streaming import changes as H
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-FILES = "f AS (SELECT source || '/' || lang || '/' || doc_id || '.txt' AS path, strlen(text) AS size, doc_id, text FROM documents WHERE text IS NOT NULL)"
+FILES = "f AS (SELECT coalesce(source, 'null') || '/' || coalesce(lang, 'null') || '/' || coalesce(doc_id::VARCHAR, 'null') || '.txt' AS path, strlen(text) AS size, doc_id, text FROM documents WHERE text IS NOT NULL)"
 LINES = (
     FILES
     + r""", p AS (SELECT path, size, CASE WHEN ends_with(text, chr(10)) OR text = '' THEN list_slice(string_split(text, chr(10)), 1, -2) ELSE string_split(text, chr(10)) END AS parts FROM f),
@@ -45,15 +47,8 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.spread(C.document_files(C.table(spark, sf_dir, "documents")))
 
 
-def sources(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(fixtures.SOURCES, "path string, text string").withColumn("size", F.octet_length("text").cast("long"))
-
-
-def values(rows: list[tuple], columns: str, casts: str = "*") -> str:
-    def one(v) -> str:
-        return "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
-
-    return f"SELECT {casts} FROM (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) v({columns})"
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.source_files(C.spread(C.table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def grep_sql(test: str, before: str, where: str = "true") -> str:
@@ -264,7 +259,7 @@ HIDE = "CASE WHEN doc_id % 3 = 0 THEN '.cache/' || path WHEN doc_id % 3 = 1 THEN
 @query("hidden_filter", f"WITH {FILES}, h AS (SELECT {HIDE} AS path, text FROM f) SELECT path FROM h WHERE NOT regexp_matches(path, '(^|/)\\.') AND contains(text, 'the')")
 def _(spark, sf_dir):
     """hidden files are left out."""
-    d = C.table(spark, sf_dir, "documents").select("doc_id", "text", F.concat("source", F.lit("/"), "lang", F.lit("/"), "doc_id", F.lit(".txt")).alias("path"), F.octet_length("text").cast("long").alias("size"))
+    d = C.table(spark, sf_dir, "documents").select("doc_id", "text", C.document_path().alias("path"), F.octet_length("text").cast("long").alias("size"))
     return S.search(d.select(F.expr(HIDE).alias("path"), "size", "text"), "the", mode="files")
 
 
@@ -298,21 +293,58 @@ def _(spark, sf_dir):
     return S.search(docs(spark, sf_dir), "nd", mode="files", gitignore=NESTED)
 
 
-@query("ignore_cases", values(fixtures.IGNORE, "rule, path, is_dir, ignored"))
+#: What the ignore files of the query hold, besides those of each source and language.
+IGNORE_FILES = [(".gitignore", "src2/\n"), ("src3/.gitignore", " en/ \n# fr/\n!fr/\n/fr/1*\n")]
+
+
+@query(
+    "gitignore_loaded",
+    f"""WITH {FILES}, p AS (SELECT path, string_split(path, '/') AS part FROM f WHERE contains(text, 'nd'))
+SELECT path FROM p WHERE part[1] = 'src2' AND part[2] = 'fr' OR NOT (part[1] = 'src2' OR part[1] = 'src3' AND (part[2] = 'en' OR part[2] = 'fr' AND starts_with(part[3], '1'))
+  OR ends_with(part[3], (strlen(part[1]) % 10) || '.txt'))""",
+)
+def _(spark, sf_dir):
+    """Rules read from the ignore files of the corpus, and what is included in spite of them."""
+    d = docs(spark, sf_dir)
+    folder = F.regexp_extract("path", "^(.*)/", 1)
+    own = d.select(folder.alias("folder")).distinct().select(F.concat("folder", F.lit("/.gitignore")).alias("path"), F.concat(F.lit("\n*"), F.length(F.substring_index("folder", "/", 1)) % 10, F.lit(".txt\n")).alias("text"))
+    rules = own.unionByName(spark.createDataFrame(IGNORE_FILES, "path string, text string")).select("path", F.octet_length("text").cast("long").alias("size"), "text")
+    return S.search(d.unionByName(rules), "nd", mode="files", gitignore=True, include=["src2/fr/*"])
+
+
+#: Rules, each with an SQL test of its own.
+RULE_CASES = {
+    "build/": "starts_with(path, 'build/') OR contains(path, '/build/')",
+    "/build": "starts_with(path, 'build/')",
+    "*7.txt": "ends_with(path, '7.txt')",
+    "src?/**": "path[1:3] = 'src' AND path[4] <> '/' AND path[5] = '/'",
+    "x/*/src1": "starts_with(path, 'x/build/src1/')",
+    "**/en": "contains('/' || path, '/en/')",
+    "[0-9].txt": "false",
+    "# build/": "false",
+    "!build/": "false",
+    "/": "false",
+}
+PLACED = "CASE doc_id % 5 WHEN 0 THEN 'build/' WHEN 1 THEN 'x/build/' WHEN 2 THEN '.git/' WHEN 3 THEN 'x/.git/y/' ELSE '' END || path"
+
+
+@query(
+    "ignore_cases",
+    f"WITH {FILES}, x AS (SELECT {PLACED} AS path FROM f) "
+    + " UNION ALL ".join(f"SELECT '{rule}' AS rule, path, starts_with(path, '.git/') OR contains(path, '/.git/') OR ({test}) AS ignored FROM x" for rule, test in RULE_CASES.items()),
+)
 def _(spark, sf_dir):
-    """Single rules on single paths."""
-    rows = [spark.createDataFrame([(r, p, d)], "rule string, path string, is_dir boolean").withColumn("ignored", paths.ignored(F.col("path"), [r])) for r, p, d, _ in fixtures.IGNORE]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    """Single rules on every path."""
+    d = docs(spark, sf_dir).select("path", F.substring_index(F.substring_index("path", "/", -1), ".", 1).cast("long").alias("doc_id"))
+    path = F.expr(PLACED)
+    return d.select(F.inline(F.array(*[F.struct(F.lit(r).alias("rule"), path.alias("path"), paths.ignored(path, [r]).alias("ignored")) for r in RULE_CASES])))
 
 
 @query("language_of_path", f"WITH {FILES}, x AS (SELECT path || CASE doc_id % 6 WHEN 0 THEN '.go' WHEN 1 THEN '.JAVA' WHEN 2 THEN '.py' WHEN 3 THEN '.tsx' WHEN 4 THEN '.mjs' ELSE '' END AS path, doc_id FROM f) SELECT path, CASE doc_id % 6 WHEN 0 THEN 'go' WHEN 1 THEN 'java' WHEN 2 THEN 'python' WHEN 3 THEN 'typescript' WHEN 4 THEN 'typescript' ELSE '' END AS lang FROM x")
 def _(spark, sf_dir):
     """Languages by extension."""
     ext = F.element_at(F.array(*[F.lit(x) for x in (".go", ".JAVA", ".py", ".tsx", ".mjs", "")]), (F.col("doc_id") % 6 + 1).cast("int"))
-    d = C.table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.concat("source", F.lit("/"), "lang", F.lit("/"), "doc_id", F.lit(".txt"), ext).alias("path"))
+    d = C.table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.concat(C.document_path(), ext).alias("path"))
     return d.select("path", T.language_of(F.col("path")).alias("lang"))
 
 
@@ -330,7 +362,7 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as files with contents: some with a NUL in front, some unreadable."""
     d = C.table(spark, sf_dir, "documents").where("text IS NOT NULL")
     content = F.when(F.col("doc_id") % 50 == 7, F.concat(F.lit("\0").cast("binary"), F.col("text").cast("binary"))).when(F.col("doc_id") % 50 == 9, F.lit(None).cast("binary")).otherwise(F.col("text").cast("binary"))
-    return d.select(F.concat("source", F.lit("/"), "lang", F.lit("/"), "doc_id", F.lit(".txt")).alias("path"), F.octet_length("text").cast("long").alias("size"), content.alias("content"))
+    return d.select(C.document_path().alias("path"), F.octet_length("text").cast("long").alias("size"), content.alias("content"))
 
 
 ROUTED = f"""WITH {FILES}, s AS (SELECT path, size, doc_id, size > 1048576 AS large, sum(CASE WHEN size > 1048576 THEN 0 ELSE size END) OVER (ORDER BY path ROWS UNBOUNDED PRECEDING) > 1048576 AS over FROM f),
@@ -357,11 +389,15 @@ def _(spark, sf_dir):
     return routed.where("route IN ('large', 'budget')").where("size <= 4096").select("path", "size").orderBy("path")
 
 
-@query("utf16_decode", values(fixtures.DECODED, "path, text, route"))
+@query("utf16_decode", f"WITH {FILES} SELECT path, CASE WHEN doc_id % 5 <> 4 THEN text END AS text, CASE WHEN doc_id % 5 = 4 THEN 'binary' ELSE 'indexed' END AS route FROM f")
 def _(spark, sf_dir):
-    """Byte order marks and NULs."""
-    rows = [(p, len(h) // 2, bytearray.fromhex(h)) for p, h in fixtures.BINARIES]
-    routed = C.route(spark.createDataFrame(rows, "path string, size long, content binary"), EngineConf(max_index_mb=0))
+    """Byte order marks, an odd last byte, and NULs."""
+    mark = lambda m, code, tail="": F.expr(f"concat(X'{m}', encode(text, '{code}'), X'{tail}')")
+    k = F.col("doc_id") % 5
+    content = F.when(k == 0, mark("FFFE", "UTF-16LE")).when(k == 1, mark("FEFF", "UTF-16BE")).when(k == 2, mark("FFFE", "UTF-16LE", "21")).when(k == 3, F.col("text").cast("binary"))
+    d = C.table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    files = d.select(C.document_path().alias("path"), F.octet_length("text").cast("long").alias("size"), content.otherwise(F.expr("concat(X'FFFE0000', encode(text, 'UTF-16LE'))")).alias("content"))
+    routed = C.route(files, EngineConf(max_index_mb=0))
     return routed.select("path", F.when(F.col("route") == "indexed", F.col("text")).alias("text"), "route")
 
 
@@ -383,11 +419,82 @@ def _(spark, sf_dir):
     return I.postings(docs(spark, sf_dir)).groupBy("tri").agg(F.count("*").alias("files"))
 
 
-@query("index_equals_scan", regex_sql("th(and|ere)ing?[a-z]*s"))
+@query("index_equals_scan", regex_sql("th(and|ere)[a-z]+, "))
 def _(spark, sf_dir):
-    """A search through the index finds what a scan finds."""
+    """A search through postings finds what a scan finds."""
     d = docs(spark, sf_dir)
-    return I.indexed_search(d, I.postings(d), "th(and|ere)ing?[a-z]*s")
+    return I.indexed_search(d, I.postings(d), "th(and|ere)[a-z]+, ")
+
+
+#: Indexes that this process has built: by session and tables.
+BUILT: dict[tuple[str, str], I.Index] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> I.Index:
+    """The index of the documents and the source files made from them, in the shared folder; built once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in BUILT or not BUILT[key].exists():
+        index = I.Index(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+        index.build(docs(spark, sf_dir).unionByName(sources(spark, sf_dir)).withColumn("mtime_ns", F.lit(1).cast("long")), target=4 << 20, least=2 << 20)
+        BUILT[key] = index
+    return BUILT[key]
+
+
+@query("index_search_warm", literal_sql("thand"))
+def _(spark, sf_dir):
+    """A selective literal through a stored index."""
+    return stored_index(spark, sf_dir).search("thand", globs=["*.txt"])
+
+
+@query("index_search_broad", f"WITH {LINES} SELECT path, count(*) AS count FROM l WHERE contains(translate(text, '{T.UPPER}', '{T.LOWER}'), 'the') GROUP BY path")
+def _(spark, sf_dir):
+    """A broad literal through a stored index."""
+    return stored_index(spark, sf_dir).search("THE", nocase=True, mode="count", globs=["*.txt"])
+
+
+@query("index_defs", G.defs_sql("name = 'seats'"))
+def _(spark, sf_dir):
+    """Definitions that the index has stored."""
+    return Y.find_definitions(stored_index(spark, sf_dir).definitions(), "seats")
+
+
+@query("index_refs", G.refs_sql())
+def _(spark, sf_dir):
+    """Uses of a name in the files that hold its trigrams, by a stored index."""
+    return stored_index(spark, sf_dir).references("ring").where(F.col("path").endswith(G.USES.ext))
+
+
+@query("refs_limit", G.refs_sql() + " ORDER BY path, line LIMIT 7")
+def _(spark, sf_dir):
+    """The first uses only."""
+    return Y.find_references(sources(spark, sf_dir).where(F.col("path").endswith(G.USES.ext)), "ring").limit(7)
+
+
+@query(
+    "index_then_stream",
+    f"WITH {LINES}, m AS (SELECT path, line, text, size > 4096 AS late FROM l WHERE contains(text, 'thand')) SELECT path, line, text FROM m ORDER BY late, path, line LIMIT 9",
+)
+def _(spark, sf_dir):
+    """Results of indexed files come first, then those of files that are read without the index; the limit is over both."""
+    d = docs(spark, sf_dir)
+    small = d.where("size <= 4096")
+    return S.united(I.indexed_search(small, I.postings(small), "thand"), S.search(d.where("size > 4096"), "thand"), 9).select("path", "line", "text")
+
+
+@query(
+    "index_compact_reconcile",
+    f"WITH {FILES} SELECT path, CASE doc_id % 10 WHEN 3 THEN 'unchanged' WHEN 5 THEN 'deleted' WHEN 7 THEN 'changed' ELSE 'unchanged' END AS change FROM f WHERE doc_id % 10 <> 9",
+)
+def _(spark, sf_dir):
+    """After changes are written into an index, only later ones differ from it."""
+    d = C.table(spark, sf_dir, "documents").where("text IS NOT NULL").select(C.document_path().alias("path"), F.octet_length("text").cast("long").alias("size"), F.lit(1).cast("long").alias("mtime_ns"), "text", (F.col("doc_id") % 10).alias("k"))
+    index = I.Index(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    index.build(d.drop("k"), target=TARGET, least=LEAST)
+    change = d.where("k IN (3, 9)").select("path", (F.col("k") == 9).alias("deleted"), F.lit(1).cast("long").alias("seq"), (F.col("size") + 1).alias("size"), F.lit(2).cast("long").alias("mtime_ns"), F.concat("text", F.lit("!")).alias("text"))
+    index.compact(change, threshold=1)
+    k = F.col("k")
+    now = d.where("k NOT IN (5, 9)").select("path", F.when(k == 3, F.col("size") + 1).otherwise(F.col("size")).alias("size"), F.when(k == 3, 2).when(k == 7, 3).otherwise(1).cast("long").alias("mtime_ns"))
+    return D.reconcile(index.table("files").select("path", "size", "mtime_ns"), now)
 
 
 TARGET, LEAST = 100_000, 60_000
@@ -416,10 +523,10 @@ def _(spark, sf_dir):
     return I.manifest(sharded(spark, sf_dir))
 
 
-@query("shard_skip", SHARDS + f", x AS (SELECT shard, translate(text, '{T.UPPER}', '{T.LOWER}') AS t FROM s JOIN f USING (path)) SELECT shard FROM x GROUP BY shard HAVING bool_or(contains(t, 'sch')) AND bool_or(contains(t, 'chw')) AND bool_or(contains(t, 'hwo'))")
+@query("shard_skip", SHARDS + f", x AS (SELECT shard, translate(text, '{T.UPPER}', '{T.LOWER}') AS t FROM s JOIN f USING (path)) SELECT shard FROM x GROUP BY shard HAVING bool_or(contains(t, 'ice')) AND bool_or(contains(t, 'cen')) AND bool_or(contains(t, 'ens')) AND bool_or(contains(t, 'nse'))")
 def _(spark, sf_dir):
     """Shards that lack a trigram are skipped."""
-    return I.shards_with(I.postings(sharded(spark, sf_dir), "shard"), [int(k) for k in I.trigram_keys(b"schwo")])
+    return I.shards_with(I.postings(sharded(spark, sf_dir), "shard"), [int(k) for k in I.trigram_keys(b"icense")])
 
 
 @query("path_to_shard", SHARDS + "SELECT 'src' || (doc_id % 25) || '/en/' || doc_id || '.md' AS path, coalesce(shard, -1)::INT AS shard FROM documents LEFT JOIN m ON 'src' || (doc_id % 25) || '/en/' || doc_id || '.md' BETWEEN path_min AND path_max")
@@ -435,7 +542,7 @@ def _(spark, sf_dir):
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every tenth document changed twice, the last time deleted for some."""
     d = C.table(spark, sf_dir, "documents").where("text IS NOT NULL AND doc_id % 10 = 3")
-    path = F.concat("source", F.lit("/"), "lang", F.lit("/"), "doc_id", F.lit(".txt")).alias("path")
+    path = C.document_path().alias("path")
     one = d.select(path, F.lit(False).alias("deleted"), F.lit(1).cast("long").alias("seq"), F.lit(5).cast("long").alias("size"), F.lit("stale").alias("text"))
     gone = F.col("doc_id") % 20 == 3
     text = F.when(~gone, F.concat(F.lit("class Fresh\n"), "text"))
@@ -468,7 +575,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """Listing against index."""
     d = C.table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    path, k = F.concat("source", F.lit("/"), "lang", F.lit("/"), "doc_id", F.lit(".txt")).alias("path"), F.col("doc_id") % 7
+    path, k = C.document_path().alias("path"), F.col("doc_id") % 7
     size = F.octet_length("text").cast("long")
     was = d.where(k != 1).select(path, size.alias("size"), F.lit(0).cast("long").alias("mtime_ns"))
     now = d.where(k != 2).select(path, F.when(k == 3, size + 1).otherwise(size).alias("size"), F.when(k == 4, 1).otherwise(0).cast("long").alias("mtime_ns"))
@@ -495,57 +602,59 @@ def _(spark, sf_dir):
     return H.latest_state(C.table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], ["event_type", "value"])
 
 
-@query("nested_roots", values([("a/b/c", "a/b"), ("a/x", "a"), ("ab/x", None), ("a", "a")], "path, root"))
+@query(
+    "nested_roots",
+    f"WITH {FILES} SELECT path, CASE WHEN starts_with(path, 'src1/en/') THEN 'src1/en' WHEN starts_with(path, 'src1/') THEN 'src1' WHEN starts_with(path, 'src2/') THEN 'src2' END AS root FROM f",
+)
 def _(spark, sf_dir):
-    """The root that covers a path."""
-    return D.containing_root(spark.createDataFrame([("a/b/c",), ("a/x",), ("ab/x",), ("a",)], "path string"), spark.createDataFrame([("a",), ("a/b",)], "root string"))
+    """The innermost root that covers a path; src1 covers nothing of src10."""
+    roots = spark.createDataFrame([("src1",), ("src1/en",), ("src2",), ("src",), ("src3/en/x",)], "root string")
+    return D.containing_root(docs(spark, sf_dir).select("path"), roots)
 
 
 # symbols
 
+for _lang, _template in (("go", G.GO), ("java", G.JAVA), ("python", G.PYTHON), ("ts", G.TS)):
 
-def _defs_sql(where=lambda d: True, columns="path, name, kind, container, line") -> str:
-    return values([d for d in fixtures.DEFS if where(d)], columns, "* REPLACE (line::INT AS line)")
-
-
-for _lang, _ext in (("go", ".go"), ("java", ".java"), ("python", ".py"), ("ts", ".ts")):
+    @query(f"extract_{_lang}", G.defs_sql(templates=(_template,)))
+    def _(spark, sf_dir, e=_template.ext):
+        """Definitions of one language, with their source lines."""
+        return Y.definitions(sources(spark, sf_dir).where(F.col("path").endswith(e)))
 
-    @query(f"extract_{_lang}", _defs_sql(lambda d, e=_ext: d[0].endswith(e)))
-    def _(spark, sf_dir, e=_ext):
-        """Definitions of one language."""
-        return Y.definitions(sources(spark).where(F.col("path").endswith(e))).drop("text")
 
-
-@query("defs_exact", _defs_sql(lambda d: d[1] == "getUser"))
+@query("defs_exact", G.defs_sql("name = 'seats'"))
 def _(spark, sf_dir):
     """Definitions of a name."""
-    return Y.find_definitions(Y.definitions(sources(spark)), "getUser").drop("text")
+    return Y.find_definitions(Y.definitions(sources(spark, sf_dir)), "seats")
 
 
-@query("defs_fold", _defs_sql(lambda d: d[1].lower() == "userservice"))
+@query("defs_fold", G.defs_sql("lower(name) = 'till11'"))
 def _(spark, sf_dir):
     """Without case."""
-    return Y.find_definitions(Y.definitions(sources(spark)), "userSERVICE", nocase=True).drop("text")
+    return Y.find_definitions(Y.definitions(sources(spark, sf_dir)), "tiLL11", nocase=True)
 
 
-@query("file_outline", _defs_sql(lambda d: d[0] == "web/service.ts"))
+@query("file_outline", G.defs_sql("path = 'src/13.ts'"))
 def _(spark, sf_dir):
     """All definitions in a file."""
-    return Y.outline(sources(spark), "web/service.ts").drop("text")
+    return Y.outline(sources(spark, sf_dir), "src/13.ts")
 
 
-@query("delta_defs", values([("src/server.go", "Renewed", "func", "", 2)], "path, name, kind, container, line", "* REPLACE (line::INT AS line)"))
+@query("delta_defs", f"{G.defs_sql('doc_id % 15 <> 0', (G.GO,))} UNION ALL SELECT 'src/' || doc_id || '.go' AS path, 'Renewed' AS name, 'func' AS kind, '' AS container, 2 AS line, 'func Renewed() {{}}' AS text FROM documents WHERE text IS NOT NULL AND doc_id % 30 = 15")
 def _(spark, sf_dir):
-    """Definitions in a changed file are the new ones."""
-    change = spark.createDataFrame([("src/server.go", False, 1, 30, "package p\nfunc Renewed() {}\n"), ("src/uses.go", True, 1, None, None)], "path string, deleted boolean, seq long, size long, text string")
-    defs = Y.definitions(D.overlay(sources(spark), change))
-    return defs.where(F.col("path").isin("src/server.go", "src/uses.go")).drop("text")
+    """Definitions in a changed file are the new ones, in a deleted one there are none."""
+    files = sources(spark, sf_dir).where(F.col("path").endswith(".go"))
+    number = F.regexp_extract("path", r"(\d+)\.go$", 1).cast("long")
+    gone = number % 30 == 0
+    text = F.when(~gone, F.lit("package p\nfunc Renewed() {}\n"))
+    change = files.where(number % 15 == 0).select("path", gone.alias("deleted"), F.lit(1).cast("long").alias("seq"), F.octet_length(text).cast("long").alias("size"), text.alias("text"))
+    return Y.definitions(D.overlay(files, change))
 
 
-@query("refs_call_vs_ref", values([("src/uses.go", "target", "call", 6), ("src/uses.go", "target", "ref", 7)], "path, name, kind, line", "* REPLACE (line::INT AS line)"))
+@query("refs_call_vs_ref", G.refs_sql())
 def _(spark, sf_dir):
-    """Uses of a name outside its definition."""
-    return Y.find_references(sources(spark), "target").drop("text")
+    """Uses of a name outside its definition, comments and strings."""
+    return Y.find_references(sources(spark, sf_dir), "ring")
 
 
 @query("refs_track", "WITH p AS (SELECT 'pages/' || page_id || '.html' AS path, unnest(generate_series(1, len(string_split(html, chr(10)))))::INT AS line, unnest(string_split(html, chr(10))) AS text FROM pages) SELECT path, 'track' AS name, CASE WHEN ends_with(regexp_extract(text, '(?:^|\\W)track(\\s*\\(|\\W|$)', 1), '(') THEN 'call' ELSE 'ref' END AS kind, line, trim(text) AS text FROM p WHERE regexp_matches(text, '\\btrack\\b')")
@@ -563,10 +672,16 @@ def _(spark, sf_dir):
     return S.as_text(S.search(docs(spark, sf_dir), "thand"), "x/")
 
 
-@query("json_sink")
+@query(
+    "json_sink",
+    f"""WITH {LINES}, m AS (SELECT path, line, text, strlen(substr(text, 1, strpos(text, 'thand') - 1))::INT AS col, strlen(text)::INT AS line_len FROM l WHERE contains(text, 'thand')),
+s AS (SELECT * FROM m ORDER BY path, line LIMIT 5)
+SELECT to_json({{'type': 'match', 'path': path, 'line': line, 'text': text, 'col': col, 'line_len': line_len}})::VARCHAR AS value FROM s
+UNION ALL SELECT to_json({{'type': 'done', 'matches': (SELECT count(*) FROM s), 'file_hits': (SELECT count(DISTINCT path) FROM s), 'truncated': (SELECT count(*) FROM m) > 5}})::VARCHAR AS value""",
+)
 def _(spark, sf_dir):
-    """One JSON object per match."""
-    return S.as_json(S.search(docs(spark, sf_dir), "thand"))
+    """One JSON object per match, and the one that ends a search."""
+    return S.as_events(S.search(docs(spark, sf_dir), "thand"), 5)
 
 
 @query("all_lines_stats", f"WITH {LINES} SELECT path, count(*) AS n, max(strlen(text))::INT AS longest FROM l GROUP BY path")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dredge.conf import EngineConf
 from dredge.functions.text import PROBE_BYTES, decode_utf16
+from dredge.operators.ranged import in_ranges, running
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,19 +24,37 @@ def _files(df: DataFrame, path: Column, text: str) -> DataFrame:
     return df.select(path.alias("path"), F.octet_length(text).cast("long").alias("size"), F.col(text).alias("text")).where("text IS NOT NULL")
 
 
+def _path(*parts: Column | str) -> Column:
+    """The parts put together; a null part is written as null, so no row loses its path."""
+    return F.concat(*[F.coalesce(F.col(p).cast("string"), F.lit("null")) if isinstance(p, str) else p for p in parts])
+
+
+def document_path() -> Column:
+    """source/lang/doc_id.txt."""
+    return _path("source", F.lit("/"), "lang", F.lit("/"), "doc_id", F.lit(".txt"))
+
+
 def document_files(docs: DataFrame) -> DataFrame:
     """documents as files source/lang/doc_id.txt."""
-    return _files(docs, F.concat(F.col("source"), F.lit("/"), F.col("lang"), F.lit("/"), F.col("doc_id"), F.lit(".txt")), "text")
+    return _files(docs, document_path(), "text")
 
 
 def page_files(pages: DataFrame) -> DataFrame:
     """pages as files pages/page_id.html."""
-    return _files(pages, F.concat(F.lit("pages/"), F.col("page_id"), F.lit(".html")), "html")
+    return _files(pages, _path(F.lit("pages/"), "page_id", F.lit(".html")), "html")
 
 
 def conversation_files(chats: DataFrame) -> DataFrame:
     """conversations as files conv/conv_id/turn.role."""
-    return _files(chats, F.concat(F.lit("conv/"), F.col("conv_id"), F.lit("/"), F.col("turn"), F.lit("."), F.col("role")), "text")
+    return _files(chats, _path(F.lit("conv/"), "conv_id", F.lit("/"), "turn", F.lit("."), "role"), "text")
+
+
+def first_beyond(sizes: DataFrame, budget: int) -> Column:
+    """The first path (a scalar) at which the sizes of rows (path, size), added up in path order, exceed the budget."""
+    ranged = in_ranges(sizes, ["path"])
+    add = F.coalesce(F.col("before"), F.lit(0)) + F.col("inside")
+    spent = running(ranged, ["path"], "spent", F.sum("size"), F.sum("size"), F.sum("total"), add)
+    return spent.where(F.col("spent") > budget).agg(F.min("path").alias("path")).scalar()
 
 
 def route(files: DataFrame, conf: EngineConf | None = None) -> DataFrame:
@@ -43,16 +62,15 @@ def route(files: DataFrame, conf: EngineConf | None = None) -> DataFrame:
 
     Larger than the file limit: large; beyond the byte budget: budget; NUL in the probed bytes after
     decoding: binary; unreadable (null content): error; else indexed. The budget is spent in path order
-    on files that are not large. Its running sum needs one ordered pass over (path, size) alone.
+    on files that are not large. Sizes rise with the path, so one path divides what fits from what does
+    not: it is found among (path, size) alone and contents are not shuffled.
     """
     conf = conf or EngineConf()
-    out = files.withColumn("_large", F.col("size") > conf.max_filesize_mb << 20)
+    large = F.col("size") > conf.max_filesize_mb << 20
+    out = files.withColumn("_large", large)
     if conf.max_index_mb:
-        spent = F.sum(F.when(F.col("_large"), 0).otherwise(F.col("size"))).over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, 0))
-        sums = files.select("path", "size").withColumn("_large", F.col("size") > conf.max_filesize_mb << 20).select("path", (spent > conf.max_index_mb << 20).alias("over"))
-        # sums rise in path order, so one path divides what fits from what does not: contents are not shuffled
-        first_over = sums.where("over").agg(F.min("path").alias("path")).scalar()
-        out = out.withColumn("_over", F.coalesce(F.col("path") >= first_over, F.lit(False)))
+        beyond = first_beyond(files.select("path", F.when(large, 0).otherwise(F.col("size")).alias("size")), conf.max_index_mb << 20)
+        out = out.withColumn("_over", F.coalesce(F.col("path") >= beyond, F.lit(False)))
     else:
         out = out.withColumn("_over", F.lit(False))
     out = out.withColumn("text", decode_utf16("content"))

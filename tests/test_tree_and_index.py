@@ -6,12 +6,13 @@ import pytest
 
 from dredge.cli import main
 from dredge.conf import EngineConf, parse_size
-from dredge.functions import paths, symbols
-from dredge import fixtures
+from dredge.functions import paths
 from dredge.operators.delta import overlay
+from dredge.operators.ignores import load_rules
 from dredge.operators.index import Index
 from dredge.operators.symbols import outline
 from dredge.plans.search import search
+from dredge.schemas import DELTA
 from dredge.sources import tree
 from dredge.sources.corpus import route
 from dredge.streaming.changes import DeltaWriter
@@ -45,19 +46,24 @@ def test_tree_search(spark, root):
 
 def test_barrier(spark, root, tmp_path):
     tree.register(spark)
-    stream = spark.readStream.format("filetree").option("path", str(root)).option("changes", "true").load()
+    stream = spark.readStream.format("filetree").option("path", str(root)).option("changes", "true").option("listings", str(tmp_path / "listings")).load()
     writer = DeltaWriter(stream, str(tmp_path / "delta"), str(tmp_path / "check"))
     try:
         base = spark.createDataFrame([], "path string, size long, text string")
         for k in range(3):
             (root / "w.go").write_text(f"token{k}\n")
-            writer.barrier()
+            assert writer.barrier(60_000)
             now = overlay(base, writer.delta())
             assert search(now, f"token{k}", mode="files").collect() == [("w.go",)]
             assert not k or search(now, f"token{k - 1}").count() == 0
         (root / "w.go").unlink()
-        writer.barrier()
-        assert search(overlay(base, writer.delta()), "token").count() == 0
+        assert writer.barrier(0)
+        assert search(overlay(base, writer.delta()), "token").count() == 0 and writer.progress()["batchId"] >= 3
+        big = bytes(3 << 20)
+        (root / "w.go").write_bytes(big)
+        assert writer.barrier(0)
+        assert writer.delta().where("path = 'w.go' AND text IS NULL AND NOT deleted").count() == 1
+        assert len(list((tmp_path / "listings").iterdir())) <= 2
     finally:
         writer.stop()
 
@@ -70,16 +76,23 @@ def test_index(spark, tmp_path):
     assert [r["path"] for r in index.search("token17 ").collect()] == ["d2/f17.txt"]
     assert index.search("nothing").count() == 0 and index.search("TOKEN3", nocase=True).count() == 11
     assert index.table("defs").select("name").collect() == [("target",)] and index.manifest().count() > 3
-    change = spark.createDataFrame([("d0/f0.txt", False, 1, 9, "renewed17\n"), ("d0/f3.txt", True, 1, None, None), ("new.py", False, 1, 9, "def fresh(): pass\n")], "path string, deleted boolean, seq long, size long, text string")
+    change = spark.createDataFrame([("d0/f0.txt", False, 1, 9, 5, "renewed17\n"), ("d0/f3.txt", True, 1, None, None, None), ("new.py", False, 1, 9, 5, "def fresh(): pass\n")], DELTA)
     for delta in (change, None):
         found = lambda p: [r["path"] for r in index.search(p, delta=delta).collect()]  # noqa: E731, B023
         assert found("renewed17") == ["d0/f0.txt"] and found("token3 ") == [] and found("fresh") == ["new.py"] and found("token0 ") == []
         assert {r["name"] for r in index.definitions(delta).collect()} == {"target", "fresh"}
         if delta is not None:
+            pinned, rows = index.state(), index.table("files").count()
             assert -1 in index.compact(change, threshold=20)
+            assert index.table("files", pinned).count() == rows  # a reader keeps its version
             assert index.compact(change.limit(0)) == [] and len(index.clean()) == 0
+            known = index.table("files").select("path", "size", "mtime_ns")
+            assert {r["mtime_ns"] for r in known.where("path IN ('d0/f0.txt', 'new.py')").collect()} == {5}
     index.build(files.limit(1), target=64, least=32)
     assert len(index.clean()) == 2 and index.table("files").count() == 1 and index.size() > 0
+    assert [r["path"] for r in index.references("token0").collect()] == ["d0/f0.txt"]
+    with pytest.raises(RuntimeError):  # two writers began with one version
+        index._point(index.shards(), max(index._versions()) - 1)
     assert index.forget()
     with pytest.raises(FileNotFoundError):
         index.search("token17")
@@ -97,17 +110,12 @@ def test_small_helpers(spark):
         outline(spark.createDataFrame([("a.go", "x")], "path string, text string"), "b.go")
 
 
-def test_strip_keeps_layout():
-    for lang, src in (("go", fixtures.GO), ("java", fixtures.JAVA), ("python", fixtures.PYTHON), ("typescript", fixtures.TS)):
-        out = symbols.strip(lang, src)
-        assert len(out) == len(src) and out.count("\n") == src.count("\n") and "in_string" not in out
-
-
-def test_many_references():
-    src = "package p\nfunc f() {}\n" + "func g() { f() }\n" * 1000
-    assert len(symbols.references("a.go", src, "f")) == 1000
-    got = symbols.references("A.java", "class A {\n  void m() {\n    S s = new S(r);\n  }\n}\n", "S")
-    assert got == [(3, "ref")]
+def test_ignore_files(spark):
+    texts = {".gitignore": "*.log\nout/\n", "src/.gitignore": "*.gen.go\n", "a.log": "hit", "deep/b.log": "hit", "out/c.js": "hit", "main.go": "hit", "src/t.gen.go": "hit", "src/sub/u.gen.go": "hit", "v.gen.go": "hit", ".git/x": "hit"}
+    files = spark.createDataFrame([(p, len(t), t) for p, t in texts.items()], "path string, size long, text string")
+    found = lambda **k: [r["path"] for r in search(files, "hit", mode="files", gitignore=True, **k).collect()]
+    assert found() == ["main.go", "v.gen.go"] and found(include=["out/*"]) == ["main.go", "out/c.js", "v.gen.go"] and found(subtree="src") == []
+    assert [r["folder"] for r in load_rules(files, root_only=True).collect()] == ["", ""] and ".git/x" not in found(hidden=True)
 
 
 def test_command_line(spark, root, capsys):
@@ -117,3 +125,26 @@ def test_command_line(spark, root, capsys):
     assert run("search", "nothing", str(root))[0] == 1 and run("search", "(", str(root))[0] == 2
     assert run("def", "HelloWorld", str(root)) == (0, "a.go:2: [func HelloWorld] func HelloWorld() {}\n")
     assert run("symbols", "none.go", str(root))[0] == 2 and '"files":4' in run("status", "", str(root))[1]
+
+
+def test_command_line_with_an_index(spark, root, tmp_path, capsys, monkeypatch):
+    monkeypatch.setenv("DREDGE_ENGINE", "disk")
+    monkeypatch.setenv("DREDGE_REBUILD_THRESHOLD", "2")
+    run = lambda *a: (main([*a, "--index", str(tmp_path / "ix")], spark), capsys.readouterr().out)
+    (root / "big.go").write_bytes(b"HelloWorld big\n" + b"x" * (3 << 20))
+    (root / "bin").write_bytes(b"HelloWorld\0")
+    (root / ".dredgeignore").write_text("skip/\n")
+    (root / "skip").mkdir()
+    (root / "skip/s.go").write_text("HelloWorld")
+    assert run("search", "-l", "HelloWorld", str(root)) == (0, "_x/y.txt\na.go\nbig.go\n")
+    (root / "b.go").write_text("package main\nfunc Other() { HelloWorld() }\n")
+    assert run("search", "-l", "HelloWorld", str(root), "--no-sync") == (0, "_x/y.txt\na.go\nbig.go\n")
+    assert run("search", "-l", "HelloWorld", str(root)) == (0, "_x/y.txt\na.go\nb.go\nbig.go\n")
+    assert run("refs", "HelloWorld", str(root), "--limit", "1")[1].startswith("_x/y.txt:1:")
+    assert run("def", "Other", str(root))[1] == "b.go:2: [func Other] func Other() { HelloWorld() }\n"
+    (root / "c.go").write_text("HelloWorld()\n")  # with b.go the second change: both are written into the index
+    assert run("search", "HelloWorld", str(root), "--json", "-g", "[bc].go")[1].splitlines()[-1] == '{"type":"done","matches":2,"file_hits":2,"truncated":false}'
+    assert run("search", "-l", "Other", str(root), "--no-sync") == (0, "b.go\n")
+    assert run("search", "-l", "HelloWorld", str(root / "_x")) == (0, "y.txt\n")  # a part of the indexed root
+    assert '"engine":"disk"' in run("status", "", str(root))[1]
+    assert run("forget", "", str(root)) == (0, f"{root}\n") and run("forget", "", str(root))[0] == 1
