@@ -1,14 +1,17 @@
-"""Best-fit packing into fixed-length sequences, improved by swap-based local search.
+"""Best-fit packing into fixed-length sequences by swap-based local search.
 
 A document's ids end with ``END``. A document over ``LENGTH`` ids is cut into full pieces, the first one
 shorter; full pieces are sequences of their own. The others are packed in blocks of at most ``BLOCK``
-pieces of one scan partition: best fit in falling order of length, then local search on the bins that
-have room. A move takes a piece, swaps one for one or two for one, between two bins, and is made only if
-it raises the sum of squared fills, which fills some bins up and drains others until they are empty.
+pieces of one scan partition. A block begins as its pieces come, each in the fullest bin that has room for
+it. Local search then empties bins, from the emptiest: a piece moves to the fullest bin that has room for
+it, or is swapped one for one, one for two or two for one with smaller pieces of another bin. A change is
+made only if it raises the sum of squared fills, so fuller bins get fuller and others drain until they are
+empty. The search ends when no bin can be emptied any more or as few are left as the ids need at least.
 
-It is narrow: no shuffle, no state between partitions, and a lost task packs the same rows the same
-way again. A block wastes less than a bin or two, whatever the corpus holds; sequence ids carry the
-partition's number.
+What a block does not fill is packed again: the pieces of bins with over ``WASTE`` free places, of all
+partitions together, in blocks of their own that begin with their longest pieces. So a table of many small partitions wastes no more than one of a
+few. The pieces (numbers only) are written once in the shared folder; texts are tokenized once and never
+shuffled, and a lost task packs the same rows the same way again.
 
 Defined edge cases: null or empty text is the document of the end id alone (one piece of length 1);
 repeated rows are packed each; equal lengths are told apart by their order in the scan; an empty table
@@ -25,16 +28,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from dredge.llm.common import documents
+from dredge.llm.common import checkpointed, documents
 from dredge.llm.tokens import byte_bpe
 
 LENGTH = 1024
 END = 2
 BLOCK = 20_000
-ROUNDS = 40
-#: Bins looked at for one move.
-LOOK = 32
+ROUNDS = 200
+#: Bins looked at for one swap.
+LOOK = 8
+#: Rounds end when this many bins in a row could not be emptied.
+PATIENCE = 100
+#: Free places beyond which a bin is packed again with those of other partitions.
+WASTE = 1
+#: The largest difference of two pieces that are swapped.
+SPAN = 64
 #: Sequences of a partition: ids are partition * this + number.
 PER_PARTITION = 1 << 40
 
@@ -56,6 +66,32 @@ class Bins:
         self.free: list[int] = []
         self.by_free: list[list[int]] = [[] for _ in range(length + 1)]  # bins by free room; entries may be stale
         self.present: list[int] = []  # sorted rooms that have an entry
+        self.changes = 0
+
+    def index(self, sizes: list[int]) -> None:
+        """Find items by their size, and the bin of each."""
+        self.by_size: dict[int, list[int]] = {}
+        self.bin_of = [0] * len(sizes)
+        for b, own in enumerate(self.items):
+            for i in own:
+                self.bin_of[i] = b
+                self.by_size.setdefault(sizes[i], []).append(i)
+
+    def swap(self, size: int, source: int) -> tuple[int, int, list[int]] | None:
+        """(gain, bin, [item]): an item of a fuller bin that is smaller by at most the bin's room; the largest gain found."""
+        best = None
+        for gain in range(min(size - 1, SPAN), 0, -1):
+            same = self.by_size.get(size - gain)
+            if not same:
+                continue
+            at = (source * 7 + size) % len(same)
+            for i in (same + same)[at : at + min(LOOK, len(same))] if len(same) <= 4 * LOOK else (same[(at + k) % len(same)] for k in range(LOOK)):
+                b = self.bin_of[i]
+                if b != source and gain <= self.free[b] and self.free[b] - gain < self.free[source]:
+                    if self.free[b] == gain:
+                        return gain, b, [i]
+                    best = best or (gain, b, [i])
+        return best
 
     def note(self, b: int) -> None:
         room = self.free[b]
@@ -63,52 +99,68 @@ class Bins:
             bisect.insort(self.present, room)
         self.by_free[room].append(b)
 
-    def take(self, size: int) -> int | None:
-        """The bin with the least room for ``size``, taken out of the lists."""
+    def best(self, size: int, source: int = -1) -> int | None:
+        """The fullest bin besides ``source`` with room for ``size``."""
         i = bisect.bisect_left(self.present, size)
         while i < len(self.present):
             room = self.present[i]
-            while self.by_free[room]:
-                b = self.by_free[room].pop()
-                if self.free[b] == room:
-                    if not self.by_free[room]:
-                        self.present.pop(i)
+            at = self.by_free[room]
+            while at:
+                b = at[-1]
+                if self.free[b] != room or not self.items[b]:
+                    at.pop()
+                elif b != source:
                     return b
-            self.present.pop(i)
+                else:
+                    other = next((x for x in reversed(at) if x != source and self.free[x] == room and self.items[x]), None)
+                    if other is not None:
+                        return other
+                    break
+            if at:
+                i += 1
+            else:
+                self.present.pop(i)
         return None
 
-    def add(self, item: int, size: int) -> None:
-        b = self.take(size)
-        if b is None:
-            b = len(self.items)
-            self.items.append([])
-            self.free.append(self.length)
-        self.items[b].append(item)
-        self.free[b] -= size
-        self.note(b)
-
 
-def best_fit(sizes: list[int], length: int) -> Bins:
+def best_fit(sizes: list[int], length: int, falling: bool = False) -> Bins:
+    """Each item, as they come or the longest first, in the fullest bin that has room for it."""
     bins = Bins(length)
-    for item in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
-        bins.add(item, sizes[item])
+    for item in sorted(range(len(sizes)), key=lambda i: -sizes[i]) if falling else range(len(sizes)):
+        b = bins.best(sizes[item])
+        if b is None:
+            b = len(bins.items)
+            bins.items.append([])
+            bins.free.append(length)
+        bins.items[b].append(item)
+        bins.free[b] -= sizes[item]
+        bins.note(b)
     return bins
 
 
 def local_search(bins: Bins, sizes: list[int], rounds: int = ROUNDS) -> None:
-    """Drain the emptiest underfull bins into the others.
+    """Empty bins into the others, from the emptiest, while that succeeds.
 
-    For each source bin, from the emptiest: (a) move an item where it fits best; (b) swap an item
-    against a smaller one of another bin that has just the room for the difference; (c) swap one item
-    against two smaller ones. (a) to (c) raise the squared fill: the fuller bin gets fuller.
+    For each source bin: (a) move an item where it fits best; (b) swap an item against a smaller one of
+    another bin that has just the room for the difference; (c) swap one item against two smaller ones, or
+    two against one. All raise the squared fill: the fuller bin gets fuller.
     """
+    least = -(-sum(sizes) // bins.length)
+    bins.index(sizes)
+    used = sum(map(bool, bins.items))
     for _ in range(rounds):
-        changed = False
-        under = [b for b in range(len(bins.items)) if bins.items[b] and bins.free[b]]
-        under.sort(key=lambda b: -bins.free[b])
-        for source in under[: max(4, len(under) // 8)]:
-            changed |= drain(bins, sizes, source)
-        if not changed:
+        before, failed = bins.changes, 0
+        order = sorted((b for b in range(len(bins.items)) if bins.items[b] and bins.free[b]), key=lambda b: (-bins.free[b], b))
+        for source in order:
+            if used <= least or failed >= PATIENCE:
+                break
+            if not bins.items[source]:
+                continue
+            if drain(bins, sizes, source):
+                used, failed = used - 1, 0
+            else:
+                failed += 1
+        if used <= least or bins.changes == before:
             break
 
 
@@ -130,38 +182,38 @@ def change(bins: Bins, source: int, target: int, give: list[int], get: list[int]
     moved = sum(sizes[i] for i in give) - sum(sizes[i] for i in get)
     bins.items[source] = [i for i in bins.items[source] if i not in give] + get
     bins.items[target] = [i for i in bins.items[target] if i not in get] + give
+    for i in give:
+        bins.bin_of[i] = target
+    for i in get:
+        bins.bin_of[i] = source
     bins.free[source] += moved
     bins.free[target] -= moved
     bins.note(source)
     bins.note(target)
+    bins.changes += 1
 
 
 def drain(bins: Bins, sizes: list[int], source: int) -> bool:
-    changed = False
+    """Move and swap the items of a bin away as far as that goes; whether it is empty then."""
     for item in sorted(bins.items[source], key=lambda i: -sizes[i]):
         size = sizes[item]
-        fits = next(iter(others(bins, source, size, size)), None)
-        if fits is not None:  # move
+        fits = bins.best(size, source)
+        if fits is not None and bins.length - bins.free[fits] + size > bins.length - bins.free[source]:  # move
             change(bins, source, fits, [item], [], sizes)
-            changed = True
             continue
-        best = None
-        for target in others(bins, source, 1, 1):
+        best = bins.swap(size, source)  # one for one
+        for target in others(bins, source, 1, 1) if best is None else []:  # one for two
             free, own = bins.free[target], bins.items[target]
             for k, a in enumerate(own):
-                gain = size - sizes[a]
-                if (best[0] if best else 0) < gain <= free:  # one for one
-                    best = (gain, target, [a])
                 for b in own[k + 1 :]:
                     gain = size - sizes[a] - sizes[b]
-                    if (best[0] if best else 0) < gain <= free:  # one for two
+                    if (best[0] if best else 0) < gain <= free:
                         best = (gain, target, [a, b])
             if best and best[0] == free:
                 break
         if best:
             change(bins, source, best[1], [item], best[2], sizes)
-            changed = True
-    for target in others(bins, source, 1, 1):  # two for one
+    for target in others(bins, source, 1, 1) if bins.items[source] else []:  # two for one
         own, free = bins.items[source], bins.free[target]
         found = next(
             (([own[i], own[j]], [a]) for a in bins.items[target] for i in range(len(own)) for j in range(i) if 0 < sizes[own[i]] + sizes[own[j]] - sizes[a] <= free),
@@ -169,14 +221,13 @@ def drain(bins: Bins, sizes: list[int], source: int) -> bool:
         )
         if found:
             change(bins, source, target, *found, sizes)
-            changed = True
             break
-    return changed
+    return not bins.items[source]
 
 
-def pack(sizes: list[int], length: int = LENGTH) -> list[tuple[int, int]]:
+def pack(sizes: list[int], length: int = LENGTH, falling: bool = False) -> list[tuple[int, int]]:
     """(bin, offset) of each item; bins are numbered from 0."""
-    bins = best_fit(sizes, length)
+    bins = best_fit(sizes, length, falling)
     local_search(bins, sizes)
     out: list[tuple[int, int]] = [(0, 0)] * len(sizes)
     number = 0
@@ -189,45 +240,86 @@ def pack(sizes: list[int], length: int = LENGTH) -> list[tuple[int, int]]:
     return out
 
 
-KINDS = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64()}
+KINDS = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64(), "wasteful": pa.bool_()}
 
 
-def pack_documents(docs: DataFrame, length: int = LENGTH, block: int = BLOCK) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+#: Partitions of the second packing count from here.
+SECOND = 1 << 22
+ROWS = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, wasteful boolean"
+
+
+def placed(held: list[tuple], number: int, length: int, falling: bool = False) -> tuple[list[tuple], int]:
+    """Rows (doc_id, piece, start, length, ids_crc32) with a sequence from ``number`` on, their offset, and whether
+    the sequence has over ``WASTE`` free places; and the next free number."""
+    open_ = [i for i, r in enumerate(held) if r[3] < length]
+    places = dict(zip(open_, pack([held[i][3] for i in open_], length, falling), strict=True))
+    used = 1 + max((b for b, _ in places.values()), default=-1)
+    fill = [0] * used
+    for i, (b, _) in places.items():
+        fill[b] += held[i][3]
+    rows = []
+    for i, r in enumerate(held):
+        if i in places:
+            b, offset = places[i]
+            rows.append((*r, number + b, offset, length - fill[b] > WASTE))
+        else:
+            rows.append((*r, number + used, 0, False))
+            used += 1
+    return rows, number + used
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), KINDS.values(), strict=True)], list(KINDS))
+
+
+def cut_and_pack(docs: DataFrame, length: int, block: int) -> DataFrame:
+    """The pieces of all documents, packed within scan partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = byte_bpe().ids
         end = np.array([END], "<u4").tobytes()
         number = TaskContext.get().partitionId() * PER_PARTITION
         held: list[tuple] = []
-
-        def flush() -> pa.RecordBatch:
-            nonlocal number
-            open_ = [i for i, r in enumerate(held) if r[3] < length]
-            places = dict(zip(open_, pack([held[i][3] for i in open_], length), strict=True))
-            used = 1 + max((b for b, _ in places.values()), default=-1)
-            rows = []
-            for i, r in enumerate(held):
-                if i in places:
-                    rows.append((*r, number + places[i][0], places[i][1]))
-                else:
-                    rows.append((*r, number + used, 0))
-                    used += 1
-            number += used
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), KINDS.values(), strict=True)], list(KINDS))
-
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = encode(text.as_py() or "") + end
                 for k, (start, n) in enumerate(pieces(len(ids) // 4, length)):
                     held.append((doc, k, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)])))
                     if len(held) >= block:
-                        yield flush()
+                        rows, number = placed(held, number, length)
+                        held = []
+                        yield _batch(rows)
         if held:
-            yield flush()
+            yield _batch(placed(held, number, length)[0])
+
+    return docs.select("doc_id", "text").mapInArrow(run, ROWS)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+
+def pack_again(rows: DataFrame, length: int, block: int) -> DataFrame:
+    """The same pieces in new sequences, packed in blocks of ``block`` over all partitions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = (SECOND + TaskContext.get().partitionId()) * PER_PARTITION
+        held: list[tuple] = []
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns[:5]), strict=True):
+                held.append(r)
+                if len(held) >= block:
+                    done, number = placed(held, number, length, True)
+                    held = []
+                    yield _batch(done)
+        if held:
+            yield _batch(placed(held, number, length, True)[0])
+
+    parts = max(1, -(-rows.count() // block))
+    dealt = rows.repartition(parts, F.xxhash64("sequence_id")).sortWithinPartitions("sequence_id", "offset") if parts > 1 else rows.repartition(1).sortWithinPartitions("sequence_id", "offset")
+    return dealt.mapInArrow(run, ROWS)
+
+
+def pack_documents(docs: DataFrame, length: int = LENGTH, block: int = BLOCK) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    first = checkpointed(cut_and_pack(docs, length, block))
+    return first.where("NOT wasteful").unionByName(pack_again(first.where("wasteful"), length, block)).drop("wasteful")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
