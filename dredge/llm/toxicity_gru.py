@@ -11,8 +11,10 @@ Labels mark documents, not places: in training a document stands for one window.
 words speak most for the label (log odds over the sample) at first, and then the worst under the
 network so far. The network is fitted on at most ``POSITIVES`` toxic and ``NEGATIVES`` other documents of the learning
 folds, chosen by hashed id (all if there are fewer): the documented bound of the labelled sample. Ids
-are chosen first and broadcast (their number is that bound), so texts are never shuffled. Their word
-codes reach the driver in documents of at most ``TRAIN_WORDS`` words, longer ones in evenly spread parts.
+are chosen first and broadcast (their number is that bound), so texts are never shuffled. The words of
+their whole texts are counted on the executors, where then each document gives its candidates: of all its
+windows the ``LIKELY`` ones with the most evidence, wherever they lie, and ``RANDOM`` others. So the driver
+gets a bounded number of words per document and no text is cut.
 
 Input projections are computed once per distinct word of a block and gathered per step. Scoring is
 narrow; memory is bounded by ``BLOCK_WORDS`` words and one text.
@@ -24,7 +26,6 @@ ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,19 +34,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dredge.llm.common import documents, split_mod, table
+from dredge.llm.common import checkpointed, documents, split_mod, table
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 HIDDEN = 8
 WORD_DIM, CHAR_DIM = 6, 6
 WORD_ROWS, CHAR_ROWS = 8192, 8192
 SIGNS = b".,;:!?#*$%&|<>\"'()[]{}-_=+/\\~^@"
 LEAST_SEEN = 4
-START_EPOCHS = 5
 BLOCK_WORDS = 100_000
 POSITIVES, NEGATIVES = 700, 1000
-TRAIN_WORDS = 768
+LIKELY, RANDOM = 8, 40
 EPOCHS, BATCH, RATE, SEED = 14, 64, 0.02, 11
+#: Small samples are shown more often, until there are this many steps.
+STEPS = 600
+#: The share of epochs that begins with the likeliest windows.
+START = 5 / 14
 DECAY = 1e-4
 CUT = 0.7
 
@@ -232,57 +236,76 @@ def gradients(net: Gru, words: list[bytes], ids: np.ndarray, real: np.ndarray, y
 PARAMETERS = ("word", "char", "w", "b", "u", "a", "av", "o", "ob")
 
 
-def evidence(texts: list[list[bytes]], labels: np.ndarray) -> tuple[dict[bytes, int], dict[bytes, float]]:
-    """The vocabulary, and each word's log odds for the label where they are positive."""
-    seen = {y: Counter() for y in (0, 1)}
-    for words, y in zip(texts, labels, strict=True):
-        seen[int(y)].update({w.strip(SIGNS) for w in words})
-    n = {y: int((labels == y).sum()) for y in (0, 1)}
-    both = seen[0] + seen[1]
-    known = sorted((w for w, k in both.items() if k >= LEAST_SEEN and w), key=lambda w: (-both[w], w))[: WORD_ROWS - 1]
-    odds = {w: float(np.log((seen[1][w] + 0.5) / (n[1] + 1)) - np.log((seen[0][w] + 0.5) / (n[0] + 1))) for w in known if seen[1][w] > 1}
-    return {w: i for i, w in enumerate(known, 1)}, {w: x for w, x in odds.items() if x > 0}
+def word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(doc_id, y, words) of rows doc_id, y, text."""
+    for batch in batches:
+        for doc, y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            yield doc, y, (text.as_py() or "").encode().lower().split()
 
 
-def fit(texts: list[list[bytes]], labels: np.ndarray, seed: int = SEED) -> Gru:
-    """Adam on one window per document and epoch."""
-    vocabulary, odds = evidence(texts, labels)
+def evidence(sample: DataFrame) -> tuple[dict[bytes, int], dict[bytes, float]]:
+    """The vocabulary of the sample (doc_id, y, text), and each word's log odds for the label where they are positive."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, y, words in word_lists(batches):
+            own = sorted({w.strip(SIGNS) for w in words} - {b""})
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array([y] * len(own), pa.int64())], ["word", "y"])
+
+    n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    seen = sample.mapInArrow(run, "word binary, y long").groupBy("word").agg(F.count("*").alias("n"), F.sum("y").alias("toxic"))
+    known = seen.where(F.col("n") >= LEAST_SEEN).orderBy(F.desc("n"), "word").limit(WORD_ROWS - 1).collect()
+    odds = {bytes(r["word"]): float(np.log((r["toxic"] + 0.5) / (n.get(1, 0) + 1)) - np.log((r["n"] - r["toxic"] + 0.5) / (n.get(0, 0) + 1))) for r in known if r["toxic"] > 1}
+    return {bytes(r["word"]): i for i, r in enumerate(known, 1)}, {w: x for w, x in odds.items() if x > 0}
+
+
+def candidates(words: list[bytes], odds: dict[bytes, float], seed: int) -> list[list[bytes]]:
+    """Windows of a text to learn from: those with the most evidence, the first of them in front, and others at random."""
+    sums = np.cumsum([0.0, *(odds.get(w.strip(SIGNS), 0.0) ** 2 for w in words)])
+    starts = window_starts(len(words))
+    order = np.argsort(sums[starts] - sums[np.minimum(starts + WINDOW, len(words))], kind="stable")
+    rest = order[LIKELY:]
+    drawn = np.random.default_rng(seed).permutation(len(rest))[:RANDOM]
+    return [words[starts[k] : starts[k] + WINDOW] for k in (*order[:LIKELY], *rest[drawn])]
+
+
+def fit(windows: list[list[list[bytes]]], labels: np.ndarray, vocabulary: dict[bytes, int], seed: int = SEED) -> Gru:
+    """Adam on one window per document and epoch, out of the document's candidates (the likeliest one first)."""
     net = Gru.new(seed, vocabulary)
     rng = np.random.default_rng(seed)
     params = [getattr(net, name) for name in PARAMETERS]
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     weight = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum())) * len(labels)
-    sums = [np.cumsum([0.0, *(odds.get(w.strip(SIGNS), 0.0) ** 2 for w in words)]) for words in texts]
-    starts = [window_starts(len(words)) for words in texts]
-    likely = np.array([int((c[np.minimum(s + WINDOW, len(c) - 1)] - c[s]).argmax()) for c, s in zip(sums, starts, strict=True)])
-    for epoch in range(EPOCHS):
-        chosen = np.array([rng.integers(len(s)) for s in starts])
-        if epoch < START_EPOCHS:
-            chosen = np.where(labels == 1, likely, chosen)
-        elif epoch % 3 != 2:  # every third epoch the others are shown at random places
-            for i in range(0, len(texts), 128):
-                for k, p in net.window_scores(texts[i : i + 128]).items():
-                    chosen[i + k] = int(p.argmax())
+    ends = np.cumsum([len(w) for w in windows])
+    flat = [w for own in windows for w in own]
+    last = np.zeros(len(windows), np.int64)
+    epochs = max(EPOCHS, -(-STEPS * BATCH // len(windows)))
+    every = epochs // EPOCHS  # windows are scored anew as often as in a fit of EPOCHS epochs
+    for epoch in range(epochs):
+        chosen = np.array([rng.integers(len(own)) for own in windows])
+        if epoch < START * epochs:
+            chosen = np.where(labels == 1, 0, chosen)
+        elif epoch % every == 0 and epoch // every % 3 != 2:  # in other epochs texts of label 0 are shown at random places
+            scores = np.concatenate([net.score_texts(flat[i : i + 4096]) for i in range(0, len(flat), 4096)])
+            chosen = np.array([int(own.argmax()) for own in np.split(scores, ends[:-1])])
         else:
             chosen = np.where(labels == 1, last, chosen)
         last = chosen
-        order = rng.permutation(len(texts))
+        order = rng.permutation(len(windows))
         for i in range(0, len(order), BATCH):
             picked = order[i : i + BATCH]
-            vocabulary: dict[bytes, int] = {}
+            places: dict[bytes, int] = {}
             ids, real = np.zeros((len(picked), WINDOW), np.int64), np.zeros((len(picked), WINDOW), bool)
             for row, k in enumerate(picked):
-                at = window_starts(len(texts[k]))[chosen[k]]
-                own = texts[k][at : at + WINDOW]
-                ids[row, : len(own)] = [vocabulary.setdefault(w, len(vocabulary)) for w in own]
+                own = windows[k][chosen[k]]
+                ids[row, : len(own)] = [places.setdefault(w, len(places)) for w in own]
                 real[row, : len(own)] = True
-            grads = gradients(net, list(vocabulary), ids, real, labels[picked], weight[picked] / len(picked))
+            grads = gradients(net, list(places), ids, real, labels[picked], weight[picked] / len(picked))
             step += 1
             for q, d, m, v in zip(params, grads, first, second, strict=True):
                 d = d + DECAY * q
                 m += 0.1 * (d - m)
                 v += 0.01 * (d * d - v)
-                q -= (RATE * (1 - epoch / EPOCHS) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+                q -= (RATE * (1 - epoch / epochs) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
     return net
 
 
@@ -291,25 +314,22 @@ def learn(docs: DataFrame, labels: DataFrame) -> Gru | None:
     known = labels.where("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.col("doc_id"), F.lit(SEED))
     ids = known.where("toxic = 1").orderBy(order, "doc_id").limit(POSITIVES).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(NEGATIVES))
+    sample = docs.join(F.broadcast(ids), "doc_id").select(F.col("doc_id").cast("long"), F.col("toxic").cast("long").alias("y"), "text")
+    sample = checkpointed(sample)
+    vocabulary, odds = evidence(sample)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for doc, y, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                words = (text or "").encode().lower().split()
-                if len(words) > TRAIN_WORDS:  # eight parts spread over the whole text
-                    size = TRAIN_WORDS // 8
-                    words = [w for s in np.linspace(0, len(words) - size, 8).astype(int) for w in words[s : s + size]]
-                if words:
-                    out.append((doc, y, b" ".join(words)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "y", "words"])
-
-    rows = docs.join(F.broadcast(ids), "doc_id").select(F.col("doc_id").cast("long"), F.col("toxic").cast("long"), "text").mapInArrow(cut, "doc_id long, y long, words binary").toArrow()
-    rows = rows.sort_by([("doc_id", "ascending"), ("words", "ascending")])
-    labels_ = rows["y"].to_numpy().astype(np.float32)
-    if not rows.num_rows or labels_.min() == labels_.max():
+        for doc, y, words in word_lists(batches):
+            if words:
+                own = [b" ".join(w) for w in candidates(words, odds, SEED + doc % 2**32)]
+                yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([y], pa.int64()), pa.array([own], pa.list_(pa.binary()))], ["doc_id", "y", "windows"])
+
+    rows = sample.mapInArrow(cut, "doc_id long, y long, windows array<binary>").toArrow().to_pylist()
+    rows.sort(key=lambda r: (r["doc_id"], r["windows"]))
+    labels_ = np.array([r["y"] for r in rows], np.float32)
+    if not rows or labels_.min() == labels_.max():
         return None
-    return fit([w.split() for w in rows["words"].to_pylist()], labels_)
+    return fit([[w.split() for w in r["windows"]] for r in rows], labels_, vocabulary)
 
 
 def score(docs: DataFrame, net: Gru | None, *carry: str) -> DataFrame:
