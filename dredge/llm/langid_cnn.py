@@ -5,10 +5,10 @@ window, and a softmax layer turns the pooled values into language probabilities.
 windows of ``WINDOW`` bytes, the last one zero-filled; its distribution is the mean over its windows,
 weighted by their text bytes. Windows of many texts are scored together in blocks of ``BLOCK``.
 
-The network is fitted on at most ``PER_LANG`` documents of each of the ``MAX_LANGS`` commonest
-languages (all documents of the learning folds if there are fewer), chosen by hashed id, and at most
-``WINDOWS_PER_DOC`` windows spread over each whole text: the documented bound of the labelled sample.
-Scoring is narrow: no shuffle, memory for one block.
+The network learns every language of the labelled documents. It is fitted on about ``PER_LANG`` windows of
+each (on ``SAMPLE`` windows in all, if there are many languages): the documented bound of the labelled sample.
+Windows are drawn by a hash of document and place, out of all windows of all whole texts (all of them, if
+there are fewer), and cut out before anything leaves the scan. Scoring is narrow: no shuffle, memory for one block.
 
 Defined edge cases: null text or text without a letter is ``und`` with score 0; without any labelled
 text every text is ``und``; repeated rows are scored alike; an empty table gives no rows; other columns
@@ -26,15 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dredge.llm.common import documents, split_mod
+from dredge.llm.common import checkpointed, documents, split_mod
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 BLOCK = 512
-PER_LANG = 600
-MAX_LANGS = 100
-WINDOWS_PER_DOC = 4
+PER_LANG = 2400
+SAMPLE = 200_000
+#: The most languages whose shares are broadcast; beyond, they are joined.
+NAMED_LANGS = 100_000
 EPOCHS = 12
 BATCH = 64
 RATE = 0.01
@@ -96,11 +97,35 @@ def windows_of(text: str) -> np.ndarray:
     return np.frombuffer(raw, np.uint8).reshape(-1, WINDOW)
 
 
+def gradients(net: ByteCnn, w: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+    """Gradients of the weighted cross-entropy of windows by tables, biases, output weights and output bias."""
+    hidden, places = net.pooled(w)
+    p = softmax(hidden @ net.out + net.out_bias)
+    p[np.arange(len(y)), y] -= 1
+    p *= weight[:, None]
+    back = (p @ net.out.T) * (hidden > 0)
+    grads = []
+    rows = np.arange(len(y))[:, None]
+    for g, (table, at) in enumerate(zip(net.tables, places, strict=True)):
+        own = back[:, g * FILTERS : (g + 1) * FILTERS]
+        d = np.zeros_like(table)
+        for j in range(len(table)):
+            np.add.at(d[j], (w[rows, at + j], np.arange(FILTERS)[None, :]), own)
+        grads.append(d)
+    grads += [back[:, g * FILTERS : (g + 1) * FILTERS].sum(axis=0) for g in range(len(WIDTHS))]
+    return [*grads, hidden.T @ p, p.sum(axis=0)]
+
+
+def new(langs: list[str], rng: np.random.Generator) -> ByteCnn:
+    tables = [rng.normal(0, 0.1, (k, 256, FILTERS)).astype(np.float32) for k in WIDTHS]
+    out = rng.normal(0, 0.3, (FILTERS * len(WIDTHS), len(langs))).astype(np.float32)
+    return ByteCnn(langs, tables, [np.zeros(FILTERS, np.float32) for _ in WIDTHS], out, np.zeros(len(langs), np.float32))
+
+
 def fit(windows: np.ndarray, langs: list[str], labels: np.ndarray, seed: int = SEED) -> ByteCnn:
     """Adam on the cross-entropy of window labels, classes weighted evenly."""
     rng = np.random.default_rng(seed)
-    tables = [rng.normal(0, 0.1, (k, 256, FILTERS)).astype(np.float32) for k in WIDTHS]
-    net = ByteCnn(langs, tables, [np.zeros(FILTERS, np.float32) for _ in WIDTHS], rng.normal(0, 0.3, (FILTERS * len(WIDTHS), len(langs))).astype(np.float32), np.zeros(len(langs), np.float32))
+    net = new(langs, rng)
     params = [*net.tables, *net.bias, net.out, net.out_bias]
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     share = np.bincount(labels, minlength=len(langs)) * len(langs) / len(labels)
@@ -108,21 +133,7 @@ def fit(windows: np.ndarray, langs: list[str], labels: np.ndarray, seed: int = S
         order = rng.permutation(len(windows))
         for i in range(0, len(order), BATCH):
             w, y = windows[order[i : i + BATCH]], labels[order[i : i + BATCH]]
-            hidden, places = net.pooled(w)
-            p = softmax(hidden @ net.out + net.out_bias)
-            p[np.arange(len(y)), y] -= 1
-            p *= (1 / np.maximum(share[y], 0.05))[:, None] / len(y)
-            back = (p @ net.out.T) * (hidden > 0)
-            grads = []
-            rows = np.arange(len(y))[:, None]
-            for g, (table, at) in enumerate(zip(net.tables, places, strict=True)):
-                own = back[:, g * FILTERS : (g + 1) * FILTERS]
-                d = np.zeros_like(table)
-                for j in range(len(table)):
-                    np.add.at(d[j], (w[rows, at + j], np.arange(FILTERS)[None, :]), own)
-                grads.append(d)
-            grads += [back[:, g * FILTERS : (g + 1) * FILTERS].sum(axis=0) for g in range(len(WIDTHS))]
-            grads += [hidden.T @ p, p.sum(axis=0)]
+            grads = gradients(net, w, y, 1 / np.maximum(share[y], 0.05) / len(y))
             step += 1
             for q, d, m, v in zip(params, grads, first, second, strict=True):
                 m += 0.1 * (d - m)
@@ -131,33 +142,30 @@ def fit(windows: np.ndarray, langs: list[str], labels: np.ndarray, seed: int = S
     return net
 
 
-def learn(labelled: DataFrame) -> ByteCnn | None:
-    """A network from documents (doc_id, text, lang); None without any."""
-    known = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    if not counts:
-        return None
-    langs = sorted(r["lang"] for r in counts)
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, PER_LANG / r["count"])))])
-    spot = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(SEED)), F.lit(1 << 40)) / float(1 << 40)
-    picked = known.where(spot < F.try_element_at(share, F.col("lang"))).orderBy(F.xxhash64(F.col("doc_id"), F.lit(SEED)), "doc_id").limit(2 * PER_LANG * len(langs))
+def training_windows(labelled: DataFrame, per_lang: int = PER_LANG, sample: int = SAMPLE) -> DataFrame:
+    """(lang, doc_id, place, w): about ``per_lang`` windows of each language, drawn out of all windows of all texts."""
+    known = labelled.where("lang IS NOT NULL").where(F.col("text").rlike(r"\p{L}"))
+    n = F.ceil(F.octet_length("text") / WINDOW)
+    sizes = checkpointed(known.groupBy("lang").agg(F.sum(n).alias("n")))  # a row for each language
+    langs = sizes.count()
+    each = max(1, min(per_lang, sample // max(1, langs)))
+    shares = sizes.select("lang", F.least(F.lit(1.0), F.lit(float(each)) / F.col("n")).alias("share"))
+    spot = lambda place: F.pmod(F.xxhash64(F.col("doc_id"), place, F.lit(SEED)), F.lit(1 << 40)) / float(1 << 40)
+    places = F.filter(F.sequence(F.lit(0), (n - 1).cast("int")), lambda k: spot(k) < F.col("share"))
+    shares = F.broadcast(shares) if langs <= NAMED_LANGS else shares
+    drawn = known.join(shares, "lang").select("lang", "doc_id", F.col("text").cast("binary").alias("raw"), F.explode(places).alias("place"))
+    return drawn.select("lang", F.col("doc_id").cast("long").alias("doc_id"), "place", F.substring("raw", F.col("place") * WINDOW + 1, F.lit(WINDOW)).alias("w"))
 
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if has_letter(text):
-                    w = windows_of(text)
-                    for i in sorted({int(x) for x in np.linspace(0, len(w) - 1, WINDOWS_PER_DOC)}):
-                        out.append((lang, w[i].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.binary())], ["lang", "w"])
-
-    rows = picked.select("lang", "text").mapInArrow(sample, "lang string, w binary").toArrow()
-    if not rows.num_rows:
+
+def learn(labelled: DataFrame, per_lang: int = PER_LANG, sample: int = SAMPLE) -> ByteCnn | None:
+    """A network from documents (doc_id, text, lang); None without any."""
+    rows = sorted(zip(*training_windows(labelled, per_lang, sample).toArrow().to_pydict().values(), strict=True), key=lambda r: (r[0], r[1] is None, r[1] or 0, r[2], r[3]))
+    if not rows:
         return None
-    windows = np.frombuffer(b"".join(rows["w"].to_pylist()), np.uint8).reshape(-1, WINDOW)
-    labels = np.array([langs.index(x) for x in rows["lang"].to_pylist()])
-    return fit(windows, langs, labels)
+    langs = sorted({r[0] for r in rows})
+    number = {lang: k for k, lang in enumerate(langs)}
+    windows = np.frombuffer(b"".join(bytes(r[3]).lower().ljust(WINDOW, b"\0") for r in rows), np.uint8).reshape(-1, WINDOW)
+    return fit(windows, langs, np.array([number[r[0]] for r in rows]))
 
 
 def predict(docs: DataFrame, net: ByteCnn | None, *carry: str) -> DataFrame:

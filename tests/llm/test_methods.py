@@ -77,6 +77,61 @@ def test_every_window_counts():
     assert net.score_texts([[], [b"a"]])[0] == 0
 
 
+def test_gru_equals_step_by_step():
+    net = toxicity_gru.Gru.new(5, {b"ab": 1, b"f": 2})
+    own = [b"ab", b"cde!", b"f", b"!!"]
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    x = []
+    for w in own:
+        bare = w.strip(toxicity_gru.SIGNS) or w
+        marked = b"\x01" + bare + b"\x02"
+        grams = []
+        for a, b, c in zip(marked, marked[1:], marked[2:]):
+            h = (a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) % 2**32
+            grams.append((h ^ h >> 15) % toxicity_gru.CHAR_ROWS)
+        x.append(np.concatenate([net.word[net.vocabulary.get(bare, 0)], np.mean([net.char[g] for g in grams], axis=0)]))
+    n, states = toxicity_gru.HIDDEN, [np.zeros(0)] * 4
+    for d, order in ((0, range(4)), (1, range(3, -1, -1))):
+        h = np.zeros(n)
+        for t in order:
+            p = x[t] @ net.w[d] + net.b[d]
+            r, z = ([sig(p[k * n + i] + h @ net.u[d][:, k * n + i]) for i in range(n)] for k in (0, 1))
+            c = [math.tanh(p[2 * n + i] + (np.array(r) * h) @ net.u[d][:, 2 * n + i]) for i in range(n)]
+            h = np.array([(1 - z[i]) * c[i] + z[i] * h[i] for i in range(n)])
+            states[t] = np.concatenate([states[t], h])
+    e = np.exp([math.fsum(math.tanh(s @ net.a[:, k]) * net.av[k] for k in range(n)) for s in states])
+    want = sig(sum(w * s for w, s in zip(e / e.sum(), states)) @ net.o + net.ob[0])
+    assert net.score_texts([own])[0] == pytest.approx(want, abs=1e-5)
+
+
+def test_candidates_come_from_the_whole_text():
+    odds = {b"bad": 2.0, b"worse": 3.0}
+    for at in (0, 500, 777, 9_999, 19_990):
+        words = [b"w%d" % (k % 50) for k in range(20_000)]
+        words[at] = words[at + 3] = b"worse!"
+        first, *rest = toxicity_gru.candidates(words, odds, 7)
+        assert first.count(b"worse!") == 2 and len(rest) == toxicity_gru.LIKELY + toxicity_gru.RANDOM - 1
+    assert toxicity_gru.candidates([b"a", b"b"], odds, 1) == [[b"a", b"b"]]
+
+
+def test_learns_from_long_texts(spark):
+    """Toxic passages of ten words at any place of texts of 3,000 words."""
+    rng = np.random.default_rng(3)
+    bad = [f"vile{k}" for k in range(12)]
+
+    def text(toxic):
+        words = [f"w{k}" for k in rng.integers(0, 300, 3000)]
+        if toxic:
+            at = rng.integers(0, 2980)
+            words[at : at + 10] = rng.choice(bad, 10).tolist()
+        return " ".join(words)
+
+    docs = spark.createDataFrame([(i, text(i % 2)) for i in range(160)], "doc_id long, text string")
+    net = toxicity_gru.learn(docs.where("doc_id < 100"), spark.range(100).selectExpr("id AS doc_id", "id % 2 AS toxic"))
+    scored = toxicity_gru.score(docs.where("doc_id >= 100"), net, "doc_id").collect()
+    assert sum((r["score"] >= 0.5) == (r["doc_id"] % 2 == 1) for r in scored) >= 0.9 * len(scored)
+
+
 # quality rules
 
 
@@ -268,6 +323,75 @@ def test_language_of_nothing(spark, odd):
     assert all(got[i]["held_out"] == (crc(i) % 4 == 2) for i in range(13))
 
 
+def test_cnn_equals_plain_convolution():
+    rng = np.random.default_rng(9)
+    net = langid_cnn.new(["a", "b", "c"], rng)
+    for q in (*net.bias, net.out_bias):
+        q += rng.normal(0, 0.3, q.shape).astype(np.float32)
+    windows = rng.integers(0, 256, (3, 20)).astype(np.uint8)
+    for w, p in zip(windows, net.probabilities(windows)):
+        hidden = []
+        for table, bias in zip(net.tables, net.bias):
+            for f in range(langid_cnn.FILTERS):
+                hot = [sum(float(table[j][c][f]) for j, c in enumerate(w[i : i + len(table)])) for i in range(len(w) - len(table) + 1)]
+                hidden.append(max(0.0, max(hot) + float(bias[f])))
+        logits = [math.fsum(h * float(net.out[k][c]) for k, h in enumerate(hidden)) + float(net.out_bias[c]) for c in range(3)]
+        e = [math.exp(v) for v in logits]
+        assert p.tolist() == pytest.approx([v / sum(e) for v in e], abs=1e-5)
+
+
+def test_cnn_gradients():
+    rng = np.random.default_rng(2)
+    net = langid_cnn.new(["a", "b", "c"], rng)
+    for name in ("tables", "bias"):
+        setattr(net, name, [q.astype(np.float64) for q in getattr(net, name)])
+    net.out, net.out_bias = net.out.astype(np.float64), net.out_bias.astype(np.float64)
+    w, y, weight = rng.integers(0, 256, (5, 30)).astype(np.uint8), np.array([0, 1, 2, 1, 0]), np.array([0.1, 0.4, 0.2, 0.2, 0.1])
+    loss = lambda: -(weight * np.log(langid_cnn.softmax(net.largest(w) @ net.out + net.out_bias)[np.arange(5), y])).sum()
+    for q, grad in zip([*net.tables, *net.bias, net.out, net.out_bias], langid_cnn.gradients(net, w, y, weight)):
+        at = np.unravel_index(np.abs(grad).argmax(), grad.shape)
+        old = q[at]
+        q[at] = old + 1e-5
+        high = loss()
+        q[at] = old - 1e-5
+        low = loss()
+        q[at] = old
+        assert (high - low) / 2e-5 == pytest.approx(float(grad[at]), rel=1e-3, abs=1e-7)
+
+
+def test_text_score_is_the_mean_over_windows(spark):
+    rng = np.random.default_rng(4)
+    net = langid_cnn.new(["a", "b"], rng)
+    text = "".join(chr(c) for c in rng.integers(97, 123, 700)) + "é"
+    raw = text.encode()
+    mean = np.zeros(2)
+    for at in range(0, len(raw), langid_cnn.WINDOW):
+        part = raw[at : at + langid_cnn.WINDOW]
+        mean += len(part) * net.probabilities(np.frombuffer(part.ljust(langid_cnn.WINDOW, b"\0"), np.uint8)[None, :])[0] / len(raw)
+    got = langid_cnn.predict(spark.createDataFrame([(text,)], "text string"), net).first()
+    assert got["lang_pred"] == "ab"[int(mean.argmax())] and got["score"] == pytest.approx(mean.max(), abs=1e-6)
+
+
+def test_every_language_is_learned(spark):
+    rng = np.random.default_rng(6)
+    docs, doc = [], 0
+    for lang in range(120):
+        letters = [chr(0x400 + int(c)) for c in rng.choice(400, 8, replace=False)]
+        for _ in range(6):
+            docs.append((doc, " ".join("".join(rng.choice(letters, 5)) for _ in range(60)), f"l{lang}"))
+            doc += 1
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    drawn = langid_cnn.training_windows(df, per_lang=8).collect()
+    per = Counter(r["lang"] for r in drawn)
+    assert len(per) == 120 and max(per.values()) <= 24 and len({(r["doc_id"], r["place"]) for r in drawn}) == len(drawn)
+    text = {d: t.encode() for d, t, _ in docs}
+    assert all(bytes(r["w"]) == text[r["doc_id"]][256 * r["place"] : 256 * r["place"] + 256] for r in drawn)
+    net = langid_cnn.learn(df.where("doc_id % 6 < 5"))
+    assert net.langs == sorted({f"l{k}" for k in range(120)})
+    right = langid_cnn.predict(df.where("doc_id % 6 = 5"), net, "lang").where("lang = lang_pred").count()
+    assert right >= 100
+
+
 # packing
 
 
@@ -277,7 +401,10 @@ def test_tokens_equal_library():
 
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     own = tokens.byte_bpe()
-    for text in [r[1] or "" for r in rows()] + ["a  b", "\n\nx", " lead", "trail ", "tab\there", "x\r\ny", "<|endoftext|> a<|endoftext|>", "it's we'll 1a"]:
+    import pyarrow.parquet as pq
+
+    real = [t or "" for t in pq.read_table(f"{MORE}/documents.parquet")["text"].to_pylist()]
+    for text in real + [r[1] or "" for r in rows()] + ["a  b", "\n\nx", " lead", "trail ", "tab\there", "x\r\ny", "<|endoftext|> a<|endoftext|>", "it's we'll 1a"]:
         assert np.frombuffer(own.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
@@ -313,8 +440,40 @@ def test_local_search_empties_bins():
     packing.local_search(bins, sizes, 400)
     used = [b for b in bins.items if b]
     assert sorted(i for b in used for i in b) == list(range(300)) and sum((1024 - f) ** 2 for f in bins.free) > squares
-    assert len(used) < 150 and all(sum(sizes[i] for i in b) <= 1024 for b in used)
-    assert len({b for b, _ in packing.pack(sizes)}) <= -(-sum(sizes) // 1024) + 2
+    assert all(1024 - sum(sizes[i] for i in b) == f for b, f in zip(bins.items, bins.free))
+    assert len(used) < 100 and all(sum(sizes[i] for i in b) <= 1024 for b in used)
+
+
+@pytest.fixture(scope="module")
+def lengths():
+    """Lengths in ids of the pieces of sf0.01 that are no whole sequence."""
+    import pyarrow.parquet as pq
+
+    own = tokens.byte_bpe()
+    ids = [len(own.ids(t or "")) // 4 + 1 for t in pq.read_table(f"{MORE}/documents.parquet")["text"].to_pylist()]
+    return [n for k in ids for _, n in packing.pieces(k) if n < 1024]
+
+
+def test_local_search_uses_fewer_bins_than_its_start(lengths):
+    bins = packing.best_fit(lengths, 1024)
+    before = len(bins.items)
+    packing.local_search(bins, lengths)
+    after, least = sum(map(bool, bins.items)), -(-sum(lengths) // 1024)
+    assert after < before and after <= 1.02 * least
+    assert sorted(i for b in bins.items for i in b) == list(range(len(lengths)))
+
+
+def test_many_partitions_cost_no_more(spark):
+    docs = spark.read.parquet(f"{MORE}/documents.parquet").select("doc_id", "text").orderBy("doc_id")
+    n = {}
+    for parts in (4, 211):
+        out = packing.pack_documents(docs.repartition(parts)).collect()
+        n[parts] = len({r["sequence_id"] for r in out})
+        fill = Counter()
+        for r in out:
+            fill[r["sequence_id"]] += r["length"]
+        assert max(fill.values()) <= 1024
+    assert n[211] <= 1.005 * n[4] + 1 and n[4] <= 1.01 * -(-sum(fill.values()) // 1024)
 
 
 # near duplicates
