@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dredge.sources.corpus import spread
+from dredge.storage import checkpointed, shared_folder
+
+__all__ = ["checkpointed", "documents", "id_crc", "n_words", "quoted", "shared_folder", "split_mod", "table", "words"]
 
 #: A word, everywhere in this subpackage. ``bytes.split()`` splits at exactly these separators too.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -40,28 +41,11 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir.
-
-    Only where none is named and the master is local (tests), a temporary folder is made and set.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            shared = tempfile.mkdtemp(prefix="dredge-checkpoint-")
-        sc.setCheckpointDir(shared)
-    return sc.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` in the shared folder, with its lineage cut there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def split_mod(remainder_of: int) -> Column:
     """The fold number of a document: crc32(doc_id as text) mod ``remainder_of``."""
     return id_crc() % remainder_of
+
+
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"

@@ -6,13 +6,16 @@ order of stop / weight the clamped sources are a prefix, so running sums give th
 over the per-source sizes (no iteration, nothing collected).
 
 A source's target is then drawn as whole repetitions of all its documents and one fractional
-repetition: its documents in a seeded order until the rest is used up, the last one in part. The
-order's running sum is two-level: sums per (source, hash bucket), then rows within a bucket. So a
-source with a third of all rows is spread over ``BUCKETS`` keys and no task sees a whole source.
+repetition: its documents in a seeded order until the rest is used up, the last one in part. Where the order
+ends is one place per source, found by two-level sums (per source and hash bucket, then within the one bucket
+that holds the end), so a source with a third of all rows is spread over ``BUCKETS`` keys. Every document
+then compares its own place with the end of its source: texts are never shuffled. Words are counted once, into a
+lean table in the shared folder (``mix_documents`` counts once more when it reads the texts again).
 
 Defined edge cases: null text counts 0 words and is taken 0 words; null source is a source of its own,
-last in order; equal rows are separate rows; a source without words has target 0; an empty table
-gives no rows; columns besides doc_id, text, source are only carried by ``mix_documents``.
+last in order; equal rows are separate rows (if the order ends among rows equal in id and size, each of them
+gives the same number of words, so the target may be missed by a word a row); a source without words has target
+0; an empty table gives no rows; columns besides doc_id, text, source are only carried by ``mix_documents``.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dredge.llm.common import WORD, documents, n_words
+from dredge.llm.common import WORD, checkpointed, documents, n_words, quoted
 
 MAX_EPOCHS = 3
 SEED = "mix-1"
@@ -57,26 +60,48 @@ def source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("z")).otherwise(F.concat(F.lit("s"), source))
 
 
-def mix_plan(docs: DataFrame, seed: str = SEED, max_epochs: int = MAX_EPOCHS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken (words), and the carried columns."""
+#: The most sources whose ends are broadcast; beyond, they are joined.
+NAMED_SOURCES = 100_000
+
+
+def lean(docs: DataFrame, seed: str, *more: Column) -> DataFrame:
+    """What the plan needs of each document: src, and its place in the order (h, id, size)."""
     hashed = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    kept = [F.col(c).alias(f"_carry_{c}") for c in carry]
-    rows = docs.select(F.col("doc_id"), source_key(F.col("source")).alias("src"), n_words(F.col("text")).alias("size"), hashed.alias("h"), *kept)
-    rows = rows.withColumn("b", F.substring("h", 1, 3))
-    lean = docs.select(source_key(F.col("source")).alias("src"), n_words(F.col("text")).alias("size"), F.substring(hashed, 1, 3).alias("b"))
-    buckets = lean.groupBy("src", "b").agg(F.sum("size").alias("bucket_size"))
+    place = F.struct(hashed.alias("h"), F.col("doc_id").cast("long").alias("id"), n_words(F.col("text")).alias("size"))
+    return docs.select(source_key(F.col("source")).alias("src"), place.alias("place"), *more)
+
+
+def ends(rows: DataFrame, max_epochs: int) -> DataFrame:
+    """Per source of ``lean`` rows: source_size, target, whole repetitions, the place where the fractional one ends, and
+    the words that each row at that place gives."""
+    bucket = F.substring("place.h", 1, 3)
+    buckets = checkpointed(rows.groupBy("src", bucket.alias("b")).agg(F.sum("place.size").alias("bucket_size")))
     per_source = targets(buckets.groupBy("src").agg(F.sum("bucket_size").alias("source_size")), max_epochs)
-    before = F.coalesce(F.sum("bucket_size").over(Window.partitionBy("src").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    plan = buckets.withColumn("before", before).join(per_source, "src").select("src", "b", "before", "source_size", "target", "quota")
-    inside = Window.partitionBy("src", "b").orderBy("h", "doc_id", "size")
-    drawn = rows.join(plan, ["src", "b"]).withColumn(
-        "before", F.col("before") + F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    )
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("quota") / F.col("source_size")).cast("long")).otherwise(F.lit(0))
-    rest = F.col("quota") - whole * F.col("source_size")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))
-    taken = whole * F.col("size") + part
-    return drawn.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *[F.col(f"_carry_{c}") for c in carry])
+    per_source = checkpointed(per_source.withColumn("whole", whole).withColumn("rest", F.col("quota") - F.col("whole") * F.col("source_size")))
+    before = F.coalesce(F.sum("bucket_size").over(Window.partitionBy("src").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = buckets.withColumn("before", before).join(per_source, "src").where("before <= rest AND rest < before + bucket_size").select("src", "b", "before", "rest")
+    inside = rows.withColumn("b", bucket).join(last, ["src", "b"]).groupBy("src", "place", "before", "rest").agg(F.count("*").alias("n"))
+    run = F.sum(F.col("place.size") * F.col("n")).over(Window.partitionBy("src").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    here = inside.withColumn("filled", F.col("before") + run).where("rest < filled")
+    end = here.groupBy("src").agg(F.min(F.struct("place", "filled", "n", "rest")).alias("e"))
+    given = F.floor((F.col("e.rest") - F.col("e.filled") + F.col("e.place.size") * F.col("e.n")) / F.col("e.n"))
+    end = end.select("src", F.col("e.place").alias("end"), given.cast("long").alias("given"))
+    return checkpointed(per_source.join(end, "src", "left").select("src", "source_size", "target", "whole", "end", "given"))
+
+
+def taken(rows: DataFrame, per_source: DataFrame) -> DataFrame:
+    """``lean`` rows with the columns of ``ends`` and the words taken of each."""
+    few = per_source.count() <= NAMED_SOURCES
+    size = F.col("place.size")
+    part = F.when(F.col("place") < F.col("end"), size).when(F.col("place") == F.col("end"), F.col("given")).otherwise(F.lit(0))
+    return rows.join(F.broadcast(per_source) if few else per_source, "src").withColumn("taken", (F.col("whole") * size + part).cast("long"))
+
+
+def mix_plan(docs: DataFrame, seed: str = SEED, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken (words)."""
+    rows = checkpointed(lean(docs, seed))
+    return taken(rows, ends(rows, max_epochs)).select(F.col("place.id").alias("doc_id"), F.col("place.size").alias("size"), "source_size", "target", "taken")
 
 
 def mix_documents(docs: DataFrame, seed: str = SEED, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -84,16 +109,17 @@ def mix_documents(docs: DataFrame, seed: str = SEED, max_epochs: int = MAX_EPOCH
 
     Columns are those of ``docs``; the ones named text and n_chars follow a fractional repetition.
     """
-    carry = tuple(docs.columns)
-    plan = mix_plan(docs, seed, max_epochs, carry)
-    times = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
-    plan = plan.where(times > 0).withColumn("_k", F.explode(F.sequence(F.lit(1), times)))
-    here = F.least(F.col("size"), F.col("taken") - (F.col("_k") - 1) * F.col("size"))
-    pieces = F.regexp_extract_all(F.col("_carry_text"), F.lit(rf"([\x20\x09-\x0D]*{WORD})"), F.lit(1))
-    text = F.when(here == F.col("size"), F.col("_carry_text")).otherwise(F.array_join(F.slice(pieces, F.lit(1), here.cast("int")), ""))
-    plan = plan.withColumn("_text", text)
-    new = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
-    return plan.select(*[new.get(c, F.col(f"_carry_{c}")).alias(c) for c in carry])
+    row = F.struct(*[F.col(quoted(c)).alias(c) for c in docs.columns]).alias("row")
+    plan = taken(lean(docs, seed, row), ends(checkpointed(lean(docs, seed)), max_epochs))
+    size = F.col("place.size")
+    times = F.when(size > 0, F.ceil(F.col("taken") / size)).otherwise(F.lit(0)).cast("int")
+    plan = plan.where(times > 0).select("row", size.alias("size"), "taken", F.explode(F.sequence(F.lit(1), times)).alias("k"))
+    here = F.least(F.col("size"), F.col("taken") - (F.col("k") - 1) * F.col("size"))
+    pieces = F.regexp_extract_all(F.col("row.text"), F.lit(rf"([\x20\x09-\x0D]*{WORD})"), F.lit(1))
+    text = F.when(here == F.col("size"), F.col("row.text")).otherwise(F.array_join(F.slice(pieces, F.lit(1), here.cast("int")), ""))
+    plan = plan.select("row", text.alias("mixed"))
+    new = {"text": F.col("mixed"), "n_chars": F.length("mixed").cast("long")}
+    return plan.select(*[new.get(c, F.col(f"row.{quoted(c)}")).alias(c) for c in docs.columns])
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
