@@ -17,7 +17,6 @@ and null labels teach nothing; an empty table gives no rows; other columns are i
 
 from __future__ import annotations
 
-import operator
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from dredge.llm.common import checkpointed, documents, split_mod, table
+from dredge.llm.common import checkpointed, documents, quoted, split_mod, table
 
 NAMES = ("length", "word_length", "upper", "symbols", "shouts", "digits", "distinct", "echoes", "same_lines", "line_length")
 D = len(NAMES)
@@ -47,7 +47,8 @@ def statistics(text: str | None) -> list[float]:
     upper = int(h[65:91].sum())
     letters = upper + int(h[97:123].sum() + h[192:].sum())
     spaces = int(h[32] + h[9:14].sum())
-    echoes = sum(map(operator.eq, words, words[1:])) + sum(map(operator.eq, words, words[16:]))
+    threes = max(0, n - 2)
+    echoes = threes - len(set(zip(words, words[1:], words[2:], strict=False)))
     return [
         np.log(n + 10.0),
         np.log((len(raw) - spaces + 50.0) / (n + 10.0)),
@@ -56,7 +57,7 @@ def statistics(text: str | None) -> list[float]:
         np.log((int(h[33]) + 0.5) / (n + 10.0)),
         np.log((int(h[48:58].sum()) + 5.0) / (n + 50.0)),
         np.log((len(set(words)) + 10.0) / (n + 10.0)),
-        np.log((echoes + 2.0) / (n + 40.0)),
+        np.log((echoes + 2.0) / (threes + 40.0)),
         np.log((len(lines) - len(set(lines)) + 1.0) / (len(lines) + 10.0)),
         np.log((n + 40.0) / (len(lines) + 4.0)),
     ]
@@ -70,8 +71,9 @@ def with_statistics(docs: DataFrame, *carry: str) -> DataFrame:
             x = [statistics(t.as_py()) for t in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(x, pa.list_(pa.float64()))], [*batch.schema.names[:-1], "x"])
 
-    kinds = dict(docs.dtypes)
-    return docs.select(*carry, "text").mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in carry], "x array<double>"]))
+    fields = docs.schema
+    schema = StructType([*[fields[c] for c in carry], StructField("x", ArrayType(DoubleType()))])
+    return docs.select(*[quoted(c) for c in carry], "text").mapInArrow(run, schema)
 
 
 @dataclass
@@ -107,12 +109,17 @@ def fit(moments: dict[int, tuple[float, np.ndarray, np.ndarray]]) -> Qda:
     return Qda([means[0], means[1]], factors, constants)
 
 
+def exact(value: Column) -> Column:
+    """A sum that does not depend on the order of the rows: of decimals."""
+    return F.sum(value.cast("decimal(22,14)")).cast("double")
+
+
 def learn(labelled: DataFrame) -> Qda:
     """From rows of statistics ``x`` and ``y`` (0 or 1)."""
     x = [F.get("x", F.lit(i)) for i in range(D)]
     pairs = [(i, j) for i in range(D) for j in range(i + 1)]
     sums = labelled.where("y IN (0, 1)").groupBy("y").agg(
-        F.count("*").alias("n"), F.array(*[F.sum(c) for c in x]).alias("s"), F.array(*[F.sum(x[i] * x[j]) for i, j in pairs]).alias("ss")
+        F.count("*").alias("n"), F.array(*[exact(c) for c in x]).alias("s"), F.array(*[exact(x[i] * x[j]) for i, j in pairs]).alias("ss")
     )
     moments = {}
     for r in sums.collect():  # two rows
@@ -134,14 +141,17 @@ def score_column(spark: SparkSession, model: Qda) -> Column:
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame, threshold: float = KEEP) -> DataFrame:
-    """The documents that score at least ``threshold``, with their own columns."""
+    """The documents that score at least ``threshold``, with their own columns.
+
+    The statistics of a text are computed for the fit and once more where the text is kept or left: that costs
+    less than to shuffle all texts for a join with their scores. A null text is scored like an empty one.
+    """
     marked = checkpointed(with_statistics(docs.select("doc_id", "text"), "doc_id"))
     y = labels.where("quality IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("y"))
     model = learn(marked.join(y, "doc_id"))
-    names = docs.columns
-    rows = with_statistics(docs.select(*names, F.col("text").alias("_t")).withColumnRenamed("text", "_whole").withColumnRenamed("_t", "text"), *["_whole" if c == "text" else c for c in names])
+    rows = with_statistics(docs.select(F.struct(*[F.col(quoted(c)).alias(c) for c in docs.columns]).alias("row"), "text"), "row")
     kept = rows.where(score_column(docs.sparkSession, model) >= threshold)
-    return kept.select(*[F.col("_whole" if c == "text" else c).alias(c) for c in names])
+    return kept.select(*[F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns])
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
