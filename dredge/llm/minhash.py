@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dredge.llm.common import checkpointed, documents
+from dredge.llm.common import checkpointed, documents, quoted
 
 WORDS = 5
 PERCENT = 80
@@ -432,14 +432,14 @@ def keep_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     often = checkpointed(known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
     out = docs.join(kept.select("doc_id").join(often, "doc_id", "left_anti"), "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
     if not often.isEmpty():
-        columns = [f"`{c}`" for c in docs.columns]
+        columns = [F.col(quoted(c)).alias(c) for c in docs.columns]
         again = docs.join(kept.join(often, "doc_id").select("doc_id"), "doc_id", "left_semi")
         packed = again.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of(words)("text").alias("digest"), F.struct(*columns).alias("row"), F.to_json(F.struct(*columns)).alias("order"))
         chosen = packed.groupBy("doc_id", "digest").agg(F.min_by("row", "order").alias("row")).alias("c")
         pairs = kept.select(F.col("doc_id").alias("id"), F.col("digest").alias("d"))
         chosen = chosen.join(pairs, (F.col("doc_id") == F.col("id")) & F.col("digest").eqNullSafe(F.col("d")), "left_semi").select("row")
-        out = out.unionByName(chosen.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]))
-    return out.select(*[f"`{c}`" for c in docs.columns])
+        out = out.unionByName(chosen.select(*[F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns]))
+    return out.select(*[quoted(c) for c in docs.columns])
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
