@@ -5,9 +5,12 @@ listed keys, level 2 the other corpus keys that level 1 wrongly accepts, level 3
 level 2 wrongly accepts, and so on until a level makes no mistake. A key is listed if it passes an odd
 number of levels. Pages are then judged with broadcast bits alone: no join, no shuffle of pages.
 
-Building shuffles only the distinct keys. A level's bits are OR-ed in the shuffle and reach the driver
-as at most ``bits_per_key * max_listed / 64`` numbers; beyond ``max_listed`` listed keys the verdict
-comes from a join on the keys instead, which needs no memory bound.
+Building shuffles only the distinct keys. Level 1 gets as many bits a key as it takes to accept wrongly no more
+other keys than there are listed ones, so every later level encodes at most about that many: all levels together
+have about ``n * (1.44 * log2(others / n) + 10 + 10)`` bits for n listed keys in the corpus (3 MB for a million
+listed among a thousand million). A level's bits are OR-ed in the shuffle, counted before they are made, and
+broadcast. Where a level would need over ``MAX_BITS``, or two keys share a hash (no cascade can tell them
+apart), the verdict comes from a join on the keys instead, which needs no bound.
 
 Defined edge cases: a null url or one without ``://`` has the empty host and path, no rule and the
 verdict ``allow``; empty labels (``a..b``) make no key; repeated rows are judged alike; an empty table
@@ -16,6 +19,7 @@ or an empty list gives an empty cascade; columns besides ``page_id`` and ``url``
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -39,9 +43,10 @@ LISTED_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets"
 LISTED_DOMAINS = ("example.com", "example.net", "example.org")
 LISTED = tuple(f"{n}.{d}" for n in LISTED_NAMES for d in LISTED_DOMAINS)
 
+#: Bits a key of the levels after the first.
 BITS_PER_KEY = 10
-HASHES = 5
-MAX_LISTED = 20_000_000
+#: The largest level: 64 MB.
+MAX_BITS = 1 << 29
 MAX_LEVELS = 40
 
 
@@ -79,14 +84,14 @@ class Cascade:
     """Bit arrays of the levels, each a numpy array of unsigned 64-bit words."""
 
     levels: list[np.ndarray]
-    hashes: int = HASHES
+    hashes: list[int]  # hash functions of each level
 
     def passed(self, hashed: np.ndarray) -> np.ndarray:
         """For 64-bit key hashes, the number of leading levels that accept each."""
         depth = np.zeros(len(hashed), np.int64)
         alive = np.arange(len(hashed))
         for level, bits in enumerate(self.levels):
-            alive = alive[contains(bits, hashed[alive], level, self.hashes)]
+            alive = alive[contains(bits, hashed[alive], level, self.hashes[level])]
             depth[alive] += 1
         return depth
 
@@ -115,9 +120,8 @@ def contains(bits: np.ndarray, hashed: np.ndarray, level: int, hashes: int) -> n
     return ((bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=0)
 
 
-def encode(keys: DataFrame, n: int, level: int, bits_per_key: int, hashes: int) -> np.ndarray:
+def encode(keys: DataFrame, n_words: int, level: int, hashes: int) -> np.ndarray:
     """The bit array of a level: words are OR-ed per task and again in the shuffle, then collected."""
-    n_words = max(1, -(-n * bits_per_key // 64))
 
     def words(batches):
         for batch in batches:
@@ -158,20 +162,29 @@ def member_udf(shared):
     return is_listed
 
 
-def build_cascade(universe: DataFrame, bits_per_key: int = BITS_PER_KEY, hashes: int = HASHES) -> Cascade:
-    """Levels over ``universe`` (h: hash of a distinct key, listed: boolean)."""
-    cascade = Cascade([], hashes)
+def level_bits(n: int, others: int) -> int:
+    """Bits a key with which a level of n keys accepts wrongly about n / 100 of the others, or n of very many."""
+    return max(BITS_PER_KEY, math.ceil(math.log2(max(2, others / max(1, n))) / math.log(2)))
+
+
+def build_cascade(universe: DataFrame, max_bits: int = MAX_BITS) -> Cascade | None:
+    """Levels over ``universe`` (h: hash of a distinct key, listed: boolean); None if a level would be too large or
+    two keys share a hash."""
+    cascade = Cascade([], [])
     inside, outside = universe.where("listed").select("h"), universe.where("NOT listed").select("h")
-    n = inside.count()
+    n, others = inside.count(), outside.count()
     while n:
         level = len(cascade.levels)
-        if level >= MAX_LEVELS:
-            raise ValueError("two keys share a 64-bit hash; no cascade can tell them apart")
-        bits = encode(inside, n, level, bits_per_key, hashes)
+        per_key = level_bits(n, others)
+        if level >= MAX_LEVELS or n * per_key > max_bits:
+            return None
+        hashes = max(1, round(per_key * math.log(2)))
+        bits = encode(inside, max(1, -(-n * per_key // 64)), level, hashes)
         cascade.levels.append(bits)
+        cascade.hashes.append(hashes)
         accepted = level_udf(universe.sparkSession.sparkContext.broadcast(bits), level, hashes)
         wrong = checkpointed(outside.where(accepted("h")))
-        inside, outside, n = wrong, inside, wrong.count()
+        inside, outside, n, others = wrong, inside, wrong.count(), n
     return cascade
 
 
@@ -179,9 +192,7 @@ def filter_urls(
     pages: DataFrame,
     rules: Sequence[tuple[str, str, str]],
     listed: DataFrame,
-    max_listed: int = MAX_LISTED,
-    bits_per_key: int = BITS_PER_KEY,
-    hashes: int = HASHES,
+    max_bits: int = MAX_BITS,
 ) -> DataFrame:
     """page_id, host, path, rule, verdict and whether the host is listed.
 
@@ -195,8 +206,8 @@ def filter_urls(
     )
     both = keys.groupBy("key").agg(F.max("here").alias("here"), F.max("listed").alias("listed")).where("here")
     universe = checkpointed(both.select("key", F.xxhash64("key").alias("h"), "listed"))
-    if universe.where("listed").count() <= max_listed:
-        cascade = build_cascade(universe, bits_per_key, hashes)
+    cascade = build_cascade(universe, max_bits)
+    if cascade is not None:
         is_listed = member_udf(pages.sparkSession.sparkContext.broadcast(cascade))
         judged = parts.withColumn("is_listed", is_listed(F.transform(host_keys(F.col("host")), lambda k: F.xxhash64(k))))
     else:
