@@ -6,7 +6,8 @@ byte ``b`` becomes the coefficient with magnitude category 8 whose eight magnitu
 one 8-bit Huffman code in each table, code and magnitude bits are a byte each, so whole frames are
 written and read by reshaping arrays. A restart after every block keeps the DC values in range.
 
-``read_scan`` also reads grey or unsubsampled colour baseline JPEG with any Huffman tables, bit by bit.
+``luma`` reads any baseline JPEG, bit by bit: grey or colour, with subsampled colour, with its own quantisation and
+Huffman tables or without the latter (as usual in motion JPEG, whose frames then mean the standard's tables).
 """
 
 from __future__ import annotations
@@ -107,6 +108,10 @@ def chunks(data: bytes, at: int, end: int):
         at += 8 + size + size % 2
 
 
+#: Endings of the names of chunks that hold a frame.
+VIDEO = (b"dc", b"db")
+
+
 def read_avi(data: bytes) -> tuple[list[bytes], dict]:
     """Frames found through the idx1 index (or by walking movi if there is none), and what the headers say."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
@@ -122,7 +127,8 @@ def read_avi(data: bytes) -> tuple[list[bytes], dict]:
                 todo.append((start + 4, start + size))
             elif name == b"strh":
                 scale, rate = struct.unpack_from("<II", data, start + 20)
-                head["fps"] = rate / scale
+                if data[start : start + 4] == b"vids" and scale and rate:
+                    head["fps"] = rate / scale
             elif name == b"ICMT" and data[start : start + 14] == b"payload_bytes=":
                 head["payload_bytes"] = int(data[start + 14 : start + size].rstrip(b"\x00"))
             elif name == b"idx1":
@@ -130,20 +136,30 @@ def read_avi(data: bytes) -> tuple[list[bytes], dict]:
     if movi is None:
         raise ValueError("no movi list")
     if index is None:
-        found = [(start, size) for name, start, size in chunks(data, movi[0] + 4, movi[0] + movi[1]) if name == b"00dc"]
+        found = [(start, size) for name, start, size in chunks(data, movi[0] + 4, movi[0] + movi[1]) if name[2:] in VIDEO]
     else:
-        video = index[index[:, 0] == struct.unpack("<I", b"00dc")[0]]
-        found = [(movi[0] + int(o) + 8, int(n)) for o, n in video[:, 2:].tolist()]
+        # offsets count from the movi list or, in some files, from the file's beginning
+        video = [(struct.pack("<I", r[0]), int(r[2]), int(r[3])) for r in index.tolist()]
+        video = [(name, o, n) for name, o, n in video if name[2:] in VIDEO]
+        base = 0 if video and data[video[0][1] : video[0][1] + 4] == video[0][0] else movi[0]
+        found = [(base + o + 8, n) for _, o, n in video]
+    if any(a + n > len(data) for a, n in found):
+        raise ValueError("an index entry ends beyond the file")
     return [data[a : a + n] for a, n in found], head
 
 
+def own_form(frames: list[bytes]) -> bool:
+    """Whether all frames are as ``frames_of`` writes them, so that they can be read by reshaping."""
+    return all(f.startswith(HEAD) for f in frames)
+
+
 def coefficients(frames: list[bytes]) -> np.ndarray:
-    """Quantised coefficients (frame, block, 64) of grey frames of one size, DC differences resolved."""
+    """Quantised coefficients (frame, block, 64) of frames in the own form, DC differences resolved."""
     if frames and all(f.startswith(HEAD) and len(f) == len(HEAD) + 130 * FRAME_BLOCKS for f in frames):
         raw = np.frombuffer(b"".join(frames), np.uint8).reshape(len(frames), -1)[:, len(HEAD) :].reshape(len(frames), FRAME_BLOCKS, 130)
         b = raw[:, :, 1:128:2].astype(np.int16)
         return np.where(b < 128, b - 255, b)
-    return np.stack([read_scan(f) for f in frames])
+    return np.stack([read_scan(f)[0] for f in frames])
 
 
 def payload_of(coefs: np.ndarray) -> bytes:
@@ -151,59 +167,115 @@ def payload_of(coefs: np.ndarray) -> bytes:
     return np.where(coefs < 0, coefs + 255, coefs).astype(np.uint8).tobytes()
 
 
-def read_scan(jpeg: bytes) -> np.ndarray:
-    """Quantised coefficients (block, 64) of a baseline JPEG without subsampling, blocks in coded order."""
-    at, restart, tables, parts, comps = 2, 0, {}, 1, 1
+#: The Huffman tables that frames without any mean, by the JPEG standard: for each class and number the counts of codes
+#: by length, and the symbols that come first; the other symbols follow in ascending order. Fixed values.
+STANDARD = {
+    0x00: ((0, 1, 5, 1, 1, 1, 1, 1, 1), ""),
+    0x01: ((0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1), ""),
+    0x10: ((0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125), "01 02 03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 24 33 62 72 82"),
+    0x11: ((0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119), "00 01 02 03 11 04 05 21 31 06 12 41 51 07 61 71 13 22 32 81 08 14 42 91 a1 b1 c1 09 23 33 52 f0 15 62 72 d1 0a 16 24 34 e1 25 f1"),
+}
+
+
+def huffman(counts: bytes | tuple[int, ...], symbols: bytes) -> dict[tuple[int, int], int]:
+    """From (length, code) to symbol."""
+    table, code, k = {}, 0, 0
+    for length, count in enumerate(counts, 1):
+        for _ in range(count):
+            table[length, code] = symbols[k]
+            code, k = code + 1, k + 1
+        code <<= 1
+    return table
+
+
+def standard_tables() -> dict[int, dict[tuple[int, int], int]]:
+    out = {}
+    for number, (counts, first) in STANDARD.items():
+        begin = bytes.fromhex(first)
+        every = range(12) if number < 0x10 else sorted({run << 4 | size for run in range(16) for size in range(1, 11)} | {0x00, 0xF0})
+        out[number] = huffman(counts, begin + bytes(x for x in every if x not in begin))
+    return out
+
+
+def read_scan(jpeg: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Quantised luma coefficients (block, 64) of a baseline JPEG, blocks in coded order, and their quantiser (64)."""
+    if jpeg[:2] != b"\xff\xd8":
+        raise ValueError("not a JPEG")
+    at, restart, tables, quantisers = 2, 0, {}, {}
+    parts: list[tuple[int, int, int, int]] = []  # of each component: its name, blocks across and down in a unit, quantiser
     height = width = 0
     while True:
+        while jpeg[at : at + 2] == b"\xff\xff":
+            at += 1
+        if jpeg[at] != 0xFF:
+            raise ValueError("no marker where one is due")
         marker, size = jpeg[at + 1], struct.unpack_from(">H", jpeg, at + 2)[0]
         body = jpeg[at + 4 : at + 2 + size]
         at += 2 + size
         if marker == 0xC0:
-            height, width, comps = struct.unpack_from(">HHB", body, 1)
-            if any(body[7 + 3 * i] != 0x11 for i in range(comps)):
-                raise ValueError("subsampled JPEG")
+            height, width, n = struct.unpack_from(">HHB", body, 1)
+            parts = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
         elif 0xC1 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
             raise ValueError("not a baseline JPEG")
+        elif marker == 0xDB:
+            i = 0
+            while i < len(body):
+                wide = body[i] >> 4
+                quantisers[body[i] & 15] = np.frombuffer(body, ">u2" if wide else "u1", 64, i + 1).astype(np.int32)
+                i += 129 if wide else 65
         elif marker == 0xC4:
             i = 0
             while i < len(body):
-                counts, code, table, k = body[i + 1 : i + 17], 0, {}, i + 17
-                for length, count in enumerate(counts, 1):
-                    for _ in range(count):
-                        table[length, code] = body[k]
-                        code, k = code + 1, k + 1
-                    code <<= 1
-                tables[body[i]] = table
-                i = k
+                n = sum(body[i + 1 : i + 17])
+                tables[body[i]] = huffman(body[i + 1 : i + 17], body[i + 17 : i + 17 + n])
+                i += 17 + n
         elif marker == 0xDD:
             restart = struct.unpack(">H", body)[0]
         elif marker == 0xDA:
-            parts = body[0]
-            used = [(body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(parts)]
+            used = {body[1 + 2 * i]: (body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])}
             break
-    blocks = -(-height // 8) * -(-width // 8)
-    out = np.zeros((blocks * comps, 64), np.int16)
-    bits = _Bits(jpeg, at)
-    last = [0] * comps
-    for unit in range(blocks):
+    if not parts or not height or not width or set(used) != {p[0] for p in parts}:
+        raise ValueError("not one scan of all components")
+    tables = standard_tables() | tables if not tables else tables
+    if len(parts) == 1:  # a single component is coded block by block, whatever its sampling says
+        parts = [(parts[0][0], 1, 1, parts[0][3])]
+    across, down = max(p[1] for p in parts), max(p[2] for p in parts)
+    units = -(-width // (8 * across)) * -(-height // (8 * down))
+    name, h, v, quantiser = parts[0]
+    out = np.zeros((units * h * v, 64), np.int32)
+    bits, last, row = _Bits(jpeg, at), [0] * len(parts), 0
+    for unit in range(units):
         if restart and unit and unit % restart == 0:
             bits.restart()
-            last = [0] * comps
-        for c, (dc, ac) in enumerate(used):
-            last[c] += bits.value(bits.symbol(tables[dc]))
-            row = out[unit * comps + c]
-            row[0] = last[c]
-            k = 1
-            while k < 64:
-                s = bits.symbol(tables[0x10 | ac])
-                if s == 0:
-                    break
-                k += s >> 4
-                if s & 15:
-                    row[k] = bits.value(s & 15)
-                k += 1
-    return out
+            last = [0] * len(parts)
+        for c, (name, h, v, _) in enumerate(parts):
+            dc, ac = tables[used[name][0]], tables[0x10 | used[name][1]]
+            for _ in range(h * v):
+                block = out[row] if c == 0 else None
+                row += c == 0
+                last[c] += bits.value(bits.symbol(dc))
+                if block is not None:
+                    block[0] = last[c]
+                k = 1
+                while k < 64:
+                    s = bits.symbol(ac)
+                    if s == 0:
+                        break
+                    k += s >> 4
+                    if s & 15:
+                        v_ = bits.value(s & 15)
+                        if k > 63:
+                            raise ValueError("a block of over 64 coefficients")
+                        if block is not None:
+                            block[k] = v_
+                    k += 1
+    return out, quantisers.get(quantiser, np.ones(64, np.int32))
+
+
+def luma(jpeg: bytes) -> np.ndarray:
+    """Decoded luma samples (block, 64) of a baseline JPEG. Blocks that only fill the last unit up are among them."""
+    coefs, quantiser = read_scan(jpeg)
+    return pixels(coefs * quantiser)
 
 
 class _Bits:
@@ -212,6 +284,8 @@ class _Bits:
 
     def bit(self) -> int:
         if not self.n:
+            if self.at >= len(self.data):
+                raise ValueError("the scan ends too early")
             self.held, self.n = self.data[self.at], 8
             self.at += 2 if self.held == 0xFF else 1  # a stuffed zero follows 0xFF
         self.n -= 1
@@ -247,7 +321,7 @@ BASIS = _basis()
 
 
 def pixels(coefs: np.ndarray) -> np.ndarray:
-    """Decoded samples (frame, block, 64), 0 to 255, of coefficients with quantiser 1."""
+    """Decoded samples (..., block, 64), 0 to 255, of coefficients that the quantiser has been multiplied to."""
     grid = np.zeros(coefs.shape, np.float32)
     grid[..., ZIGZAG] = coefs
     grid = grid.reshape(*coefs.shape[:-1], 8, 8)

@@ -7,23 +7,28 @@ a film is. ``store_text`` is the lossless way in for bytes (see ``avi``).
 
 Work is per row in Arrow batches, frames in slices of ``SLICE``, so memory holds one file and a slice.
 
+Frames of other makers are read by their own tables (see ``avi.luma``); shots are found in luma.
+
 Defined edge cases: null text is empty and becomes one block of zeros (one frame); a null AVI has no
-clips; bytes that are no AVI raise; equal texts give equal bytes and features; repeated rows are handled
+clips; bytes that are no readable AVI give one row that has only the key and an error; a film without frames
+has no clips; equal texts give equal bytes and features; repeated rows are handled
 separately; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from dredge.llm import avi
-from dredge.llm.common import documents
+from dredge.llm.common import documents, quoted
 
 BINS = 16
 WINDOW = 8
@@ -44,7 +49,7 @@ def store_text(text: str | None) -> tuple[int, bytes]:
 
 
 def load(data: bytes) -> tuple[bytes, np.ndarray, float]:
-    """The payload of an AVI, its frames' histograms, and its frames per second."""
+    """The payload of an AVI made by ``store_text``, its frames' histograms, and its frames per second."""
     frames, head = avi.read_avi(data)
     parts, hists = [], []
     for i in range(0, len(frames), SLICE):
@@ -55,6 +60,15 @@ def load(data: bytes) -> tuple[bytes, np.ndarray, float]:
     return payload[: head.get("payload_bytes", len(payload))], np.concatenate(hists) if hists else np.zeros((0, BINS), np.int64), head.get("fps", avi.FPS)
 
 
+def frame_histograms(data: bytes) -> tuple[np.ndarray, float]:
+    """The luma histograms of the frames of any motion-JPEG AVI, and its frames per second."""
+    frames, head = avi.read_avi(data)
+    if frames and avi.own_form(frames):
+        return load(data)[1], head.get("fps", avi.FPS)
+    rows = [histograms(avi.luma(f)[None])[0] for f in frames if f]  # an empty chunk repeats the frame before
+    return np.array(rows, np.int64).reshape(-1, BINS), head.get("fps", avi.FPS)
+
+
 def histograms(shown: np.ndarray) -> np.ndarray:
     """Counts of sample values in ``BINS`` bins, one row per frame."""
     n = len(shown)
@@ -84,18 +98,23 @@ def clip_rows(hists: np.ndarray, fps: float) -> list[tuple[int, int, int, float,
 
 
 def clips(media: DataFrame, key: str, column: str) -> DataFrame:
-    """Timed clip rows of a column of AVI bytes."""
+    """Timed clip rows (key, clip, first_frame, frames, start_s, end_s, error) of a column of AVI bytes."""
+    schema = StructType([StructField(key, media.schema[key].dataType), *[StructField(n, LongType()) for n in ("clip", "first_frame", "frames")], *[StructField(n, DoubleType()) for n in ("start_s", "end_s")], StructField("error", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                if batch.column(1)[i].is_valid:
-                    _, hists, fps = load(batch.column(1)[i].as_py())
-                    rows = [(batch.column(0)[i].as_py(), *r) for r in clip_rows(hists, fps)]
-                    yield pa.RecordBatch.from_pylist([dict(zip([key, "clip", "first_frame", "frames", "start_s", "end_s"], r, strict=True)) for r in rows], pa.schema([(key, batch.schema.field(0).type), ("clip", pa.int64()), ("first_frame", pa.int64()), ("frames", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64())]))
-
-    kind = dict(media.dtypes)[key]
-    return media.select(key, column).mapInArrow(run, f"`{key}` {kind}, clip long, first_frame long, frames long, start_s double, end_s double")
+                if not batch.column(1)[i].is_valid:
+                    continue
+                try:
+                    rows = [(*r, None) for r in clip_rows(*frame_histograms(batch.column(1)[i].as_py()))]
+                except (ValueError, IndexError, KeyError, struct.error) as e:
+                    rows = [(None, None, None, None, None, f"{type(e).__name__}: {e}")]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string()]
+                columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(rows), pa.int64())), *columns], schema.names)
+
+    return media.select(quoted(key), quoted(column)).mapInArrow(run, schema)
 
 
 def digest(text: str | None) -> tuple:
