@@ -44,3 +44,18 @@ def frame(spark, data=None, extra=True):
 
 def put(df, folder, name):
     df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+
+
+#: Names that stages use inside, or used to, and some that need quoting.
+INTERNAL = (
+    "x _whole _t row text_ _text _trusted _good _id weights counts all_good j h t w g b k src place end given whole target taken size source_size quota rest n "
+    "before key keys sig rep least digest first last shares root component node part other task lost one parts others centre a b_ order c f m y good raw score kept predicted "
+    "wasteful sequence_id offset piece start length _carry_0 _carry_text _row _k id mixed"
+).split() + ["a b", "dot.ted", "tick`ed", "Ünï"]
+
+
+def crowded(df):
+    """The rows with a column for every internal name."""
+    from pyspark.sql import functions as F
+
+    return df.select("*", *[F.lit(f"v{k}").alias(c) for k, c in enumerate(INTERNAL)])

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
-from helpers import crc, frame, rows, words
+from helpers import INTERNAL, crc, crowded, frame, rows, words
 
 from dredge.llm import avi, chat_format, langid_cnn, media_avi, minhash, mixing, packing, quality_llr, quality_qda, tokens, toxicity_gru, url_filter
 
@@ -39,6 +39,61 @@ def test_qda_density():
     assert np.allclose(model.score(at), 1 / (1 + np.exp(logs[0] - logs[1])))
 
 
+def python_statistics(text):
+    raw = (text or "").encode()
+    w = raw.lower().split()
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    letters = sum(65 <= c <= 90 or 97 <= c <= 122 or c >= 192 for c in raw)
+    spaces = sum(c in b" \t\n\x0b\x0c\r" for c in raw)
+    threes = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    shares = [
+        (len(w), 10, None, 0),
+        (len(raw) - spaces, 50, len(w), 10),
+        (sum(65 <= c <= 90 for c in raw), 1, letters, 20),
+        (sum(c in b"#*$%&|<>" for c in raw), 0.5, len(w), 10),
+        (raw.count(b"!"), 0.5, len(w), 10),
+        (sum(48 <= c <= 57 for c in raw), 5, len(w), 50),
+        (len(set(w)), 10, len(w), 10),
+        (len(threes) - len(set(threes)), 2, len(threes), 40),
+        (len(lines) - len(set(lines)), 1, len(lines), 10),
+        (len(w), 40, len(lines), 4),
+    ]
+    return [math.log((a + s) / (1 if b is None else b + t)) for a, s, b, t in shares]
+
+
+@pytest.mark.parametrize("source", ["odd", DIR])
+def test_quality_classifier_by_hand(spark, odd, source):
+    folder = odd[0] if source == "odd" else source
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    label = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect() if r["quality"] is not None and r["doc_id"] is not None}
+    learned = [(np.array(python_statistics(t)), label[d]) for d, t in docs if d in label and crc(d) % 5]
+    x = {k: np.array([v for v, y in learned if y == k]) for k in (0, 1)}
+    n = {k: len(v) for k, v in x.items()}
+    covs = {k: np.cov(v.T, bias=True) for k, v in x.items()}
+    pooled = sum(n[k] * covs[k] for k in (0, 1)) / sum(n.values())
+    pooled = (1 - quality_qda.DIAGONAL) * pooled + quality_qda.DIAGONAL * np.diag(np.diag(pooled)) + quality_qda.FLOOR * np.eye(10)
+    density = {}
+    for k in (0, 1):
+        own = quality_qda.POOL + (1 - quality_qda.POOL) * 10 / (10 + n[k])
+        c = (1 - own) * covs[k] + own * pooled
+        density[k] = (x[k].mean(axis=0), np.linalg.inv(c), math.log(n[k] / sum(n.values())) - 0.5 * np.linalg.slogdet(c)[1])
+    text_of = dict(reversed(docs))
+    got = quality_qda.op1_quality_classifier(spark, folder).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        at = np.array(python_statistics(text_of[r["doc_id"]]))
+        logs = [c - 0.5 * (at - m) @ i @ (at - m) for m, i, c in density.values()]
+        want = 1 / (1 + math.exp(min(700, logs[0] - logs[1])))
+        assert r["score"] == pytest.approx(want, abs=1e-6) and r["predicted"] == int(r["score"] >= 0.3) and r["held_out"] == (crc(r["doc_id"]) % 5 == 0)
+
+
+def test_sums_do_not_depend_on_order(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{DIR}/labels.parquet").selectExpr("doc_id", "quality AS y").where("y IS NOT NULL")
+    a, b = (quality_qda.learn(quality_qda.with_statistics(docs.repartition(k), "doc_id").join(labels, "doc_id")) for k in (2, 7))
+    assert all((p == q).all() for p, q in zip([*a.means, *a.factors], [*b.means, *b.factors])) and a.constants == b.constants
+
+
 # toxicity
 
 
@@ -170,26 +225,36 @@ def test_quality_rules(spark, odd, source):
         if doc in good and doc is not None:
             trusted.update(own)
     n_raw, n_good, s = sum(raw.values()), sum(trusted.values()), quality_llr.SMOOTH
-    weight = lambda b: math.log((trusted[b] + s) / (n_good + s * quality_llr.BUCKETS)) - math.log((raw[b] + s) / (n_raw + s * quality_llr.BUCKETS))
+    def mean(own, less):
+        total = 0.0
+        for g in own:
+            good = math.log((trusted[g] - less[g] + s) / (n_good - sum(less.values()) + s * quality_llr.BUCKETS)) if n_good else 0.0
+            total += good - math.log((raw[g] + s) / (n_raw + s * quality_llr.BUCKETS)) if n_good else 0.0
+        return total / len(own)
+
+    def score_of(doc, text):
+        return mean(grams[text], Counter(grams[text]) if doc in good and doc is not None else Counter()) if grams[text] else None
+
+    failed = {text: (lambda b: b[0] < 50 or 100 * b[4] > 50 * b[0])(python_base(text)) for text in grams}
+    fair = sorted(score_of(d, t) for d, t in docs if d in good and d is not None and not failed[t])
+    cut = fair[max(0, math.ceil(quality_llr.CUT_QUANTILE * len(fair)) - 1)] if fair else -math.inf
     got = quality_llr.op3_quality_rules(spark, folder).collect()
-    text_of = defaultdict(list)
-    for doc, text in docs:
-        text_of[doc].append(text)
+    text_of = dict(reversed(docs))
     assert len(got) == len(docs)
     for r in got:
-        text = text_of[r["doc_id"]][0]
+        text = text_of[r["doc_id"]]
         base = python_base(text)
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == base, r["doc_id"]
-        assert r["base_failed"] == (base[0] < 50 or 100 * base[4] > 50 * base[0])
-        score = sum(map(weight, grams[text])) / len(grams[text]) if base[0] else None
+        assert r["base_failed"] == failed[text]
+        score = score_of(r["doc_id"], text)
         assert (r["score"] is None) == (score is None) and (score is None or r["score"] == pytest.approx(score, abs=1e-9))
-        assert r["kept"] == (not r["base_failed"] and score is not None and score >= quality_llr.MIN_SCORE)
+        assert r["kept"] == (not r["base_failed"] and score is not None and score >= cut - 1e-9)
 
 
 def test_rules_keep_good_and_drop_junk(spark):
     judged = quality_llr.op3_quality_rules(spark, MORE).join(spark.read.parquet(f"{MORE}/labels.parquet"), "doc_id").where("n_words >= 50").collect()
     good, bad = [r["kept"] for r in judged if r["quality"] == 1], [r["kept"] for r in judged if r["quality"] == 0]
-    assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.05 * len(bad)
+    assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.05 * len(bad)
 
 
 @pytest.mark.parametrize("folder", [DIR, MORE])
@@ -291,7 +356,7 @@ def test_any_bytes_and_the_general_decoder():
     frames, head = avi.read_avi(avi.write_avi(raw))
     assert avi.payload_of(avi.coefficients(frames))[: head["payload_bytes"]] == raw
     for f in frames[:2] + avi.frames_of(b"plain te" * 8):
-        assert (avi.read_scan(f) == avi.coefficients([f])[0]).all()
+        assert (avi.read_scan(f)[0] == avi.coefficients([f])[0]).all()
 
 
 def test_pixels_are_an_inverse_transform():
@@ -309,6 +374,118 @@ def test_shots(spark):
     assert [r[0] for r in got] == [1] * len(got) and got[0][2] == 0 and sum(r[3] for r in got) == 18
 
 
+def coded_jpeg(rng, sampling, width, height, tables=True, quantiser=None):
+    """A baseline JPEG of random coefficients, and its luma coefficients in coded order."""
+    codes = {k: {v: c for c, v in t.items()} for k, t in avi.standard_tables().items()}
+    bits = []
+
+    def put(value, size):
+        bits.extend(value >> (size - 1 - i) & 1 for i in range(size))
+
+    def number(v):
+        size = abs(v).bit_length()
+        return size, v if v >= 0 else v + (1 << size) - 1
+
+    parts = [(1, *sampling, 0), (2, 1, 1, 1), (3, 1, 1, 1)] if sampling else [(1, 1, 1, 0)]
+    h, v = sampling or (1, 1)
+    units = -(-width // (8 * h)) * -(-height // (8 * v))
+    luma, last = [], [0, 0, 0]
+    for _ in range(units):
+        for c, (_, a, b, kind) in enumerate(parts):
+            for _ in range(a * b):
+                block = np.where(rng.random(64) < 0.15, rng.integers(-40, 40, 64), 0)
+                if rng.random() < 0.3:
+                    block[20:] = 0
+                if c == 0:
+                    luma.append(block)
+                size, raw = number(int(block[0]) - last[c])
+                last[c] = int(block[0])
+                put(*reversed(codes[kind][size]))
+                put(raw, size)
+                run = 0
+                for k in range(1, 64):
+                    if not block[k:].any():
+                        put(*reversed(codes[0x10 | kind][0]))
+                        break
+                    if block[k] == 0:
+                        run += 1
+                        continue
+                    while run > 15:
+                        put(*reversed(codes[0x10 | kind][0xF0]))
+                        run -= 16
+                    size, raw = number(int(block[k]))
+                    put(*reversed(codes[0x10 | kind][run << 4 | size]))
+                    put(raw, size)
+                    run = 0
+    bits += [1] * (-len(bits) % 8)
+    scan = np.packbits(np.array(bits, np.uint8)).tobytes().replace(b"\xff", b"\xff\x00")
+    seg = lambda m, body: bytes([0xFF, m]) + struct.pack(">H", len(body) + 2) + body
+    q = np.arange(1, 65) if quantiser is None else quantiser
+    out = b"\xff\xd8" + seg(0xDB, b"\x00" + q.astype(np.uint8).tobytes() + b"\x01" + bytes([3] * 64))
+    out += seg(0xC0, struct.pack(">BHHB", 8, height, width, len(parts)) + b"".join(bytes([n, a << 4 | b, kind]) for n, a, b, kind in parts))
+    if tables:
+        for k, t in avi.standard_tables().items():
+            counts = [sum(length == n for length, _ in t) for n in range(1, 17)]
+            out += seg(0xC4, bytes([k, *counts, *[t[key] for key in sorted(t)]]))
+    return out + seg(0xDA, bytes([len(parts), *[x for n, _, _, kind in parts for x in (n, kind << 4 | kind)], 0, 63, 0])) + scan + b"\xff\xd9", np.array(luma)
+
+
+@pytest.mark.parametrize("tables", [True, False])
+@pytest.mark.parametrize("sampling", [None, (1, 1), (2, 1), (1, 2), (2, 2)])
+def test_frames_of_other_makers(sampling, tables):
+    rng = np.random.default_rng(3)
+    jpeg, want = coded_jpeg(rng, sampling, 40, 24, tables)
+    got, quantiser = avi.read_scan(jpeg)
+    assert (got == want).all() and (quantiser == np.arange(1, 65)).all()
+    grid = np.zeros((len(want), 8, 8))
+    for k, at in enumerate(avi.ZIGZAG):
+        grid[:, at // 8, at % 8] = want[:, k] * (k + 1)
+    c = [[math.cos((2 * x + 1) * u * math.pi / 16) * (math.sqrt(0.125) if u == 0 else 0.5) for x in range(8)] for u in range(8)]
+    plain = np.einsum("ux,buv,vy->bxy", c, grid, c) + 128
+    assert np.abs(avi.luma(jpeg).reshape(-1, 8, 8).astype(int) - np.clip(plain, 0, 255)).max() <= 1
+    for cut in range(0, len(jpeg) - 2, 37):  # a broken frame is an error of its file, whatever breaks it
+        with pytest.raises((ValueError, IndexError, KeyError, struct.error)):
+            avi.read_scan(jpeg[:cut])
+
+
+def test_clips_of_foreign_and_broken_films(spark):
+    rng = np.random.default_rng(5)
+    flat = np.ones(64, np.uint8)
+
+    def film(frames):
+        one = avi.write_avi(b"\0" * 64)
+        at = one.index(b"movi") - 8
+        movi = b"movi" + b"".join(b"00dc" + struct.pack("<I", len(f)) + f + bytes(len(f) % 2) for f in frames)
+        body = one[8:at] + b"LIST" + struct.pack("<I", len(movi)) + movi
+        return b"RIFF" + struct.pack("<I", len(body)) + body
+
+    def frame_of(level):
+        jpeg, _ = coded_jpeg(rng, None, 16, 16, False, flat)
+        return jpeg if level is None else coded_jpeg(np.random.default_rng(level), (2, 2), 32, 32, False, flat)[0]
+
+    media = [(1, film([frame_of(7)] * 6 + [frame_of(None)] * 6)), (2, b"no film"), (3, b""), (4, film([b"\xff\xd8broken"])), (5, None), (6, media_avi.store_text("a" * 3000)[1])]
+    df = spark.createDataFrame([(k, None if m is None else bytearray(m)) for k, m in media], "id long, film binary")
+    got = defaultdict(list)
+    for r in media_avi.clips(df, "id", "film").collect():
+        got[r["id"]].append(r)
+    assert sum(r["frames"] for r in got[1]) == 12 and all(r["error"] is None for r in got[1] + got[6])
+    assert all(len(got[k]) == 1 and got[k][0]["error"] and got[k][0]["clip"] is None for k in (2, 3, 4)) and 5 not in got
+
+
+def test_media_query_by_hand(spark, odd):
+    texts = {r["doc_id"]: r["text"] for r in reversed(spark.read.parquet(f"{odd[0]}/documents.parquet").collect())}
+    for r in media_avi.op6_media(spark, odd[0]).collect():
+        raw = (texts[r["doc_id"]] or "").encode()
+        payload = raw + bytes(-len(raw) % 64 if raw else 64)
+        media = avi.write_avi(payload)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest())
+        frames, _ = avi.read_avi(media)
+        shown = np.concatenate([avi.luma(f).ravel() for f in frames[:40]])
+        if len(frames) <= 40:
+            assert r["feature"].startswith(f"frames={len(frames)};") and r["feature"].endswith("hist=" + ",".join(str(int((shown >> 4 == k).sum())) for k in range(16)))
+
+
 # language
 
 
@@ -613,16 +790,17 @@ def test_cascade_is_exact():
     rng = np.random.default_rng(3)
     keys = rng.integers(0, 2**63, 20_000).astype(np.uint64)
     inside, outside = keys[:2000], keys[2000:]
-    cascade = url_filter.Cascade([])
+    cascade = url_filter.Cascade([], [])
     a, b = inside, outside
     while len(a):
         level = len(cascade.levels)
         n = max(1, -(-len(a) * 6 // 64))
         bits = np.zeros(n, np.uint64)
-        at = url_filter.positions(a, level, n * 64, url_filter.HASHES).ravel()
+        at = url_filter.positions(a, level, n * 64, 5).ravel()
         np.bitwise_or.at(bits, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
         cascade.levels.append(bits)
-        a, b = b[url_filter.contains(bits, b, level, url_filter.HASHES)], a
+        cascade.hashes.append(5)
+        a, b = b[url_filter.contains(bits, b, level, 5)], a
     assert len(cascade.levels) > 2 and cascade.member(inside).all() and not cascade.member(outside).any()
 
 
@@ -630,7 +808,7 @@ def test_url_fallback_agrees(spark, odd):
     pages = spark.read.parquet(f"{odd[0]}/pages.parquet")
     listed = spark.createDataFrame([(k,) for k in url_filter.LISTED], "key string")
     a = url_filter.filter_urls(pages, url_filter.RULES, listed)
-    b = url_filter.filter_urls(pages, url_filter.RULES, listed, max_listed=0)
+    b = url_filter.filter_urls(pages, url_filter.RULES, listed, max_bits=0)
     assert sorted(map(repr, a.collect())) == sorted(map(repr, b.select(a.columns).collect()))
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in a.collect()}
     assert got[5] == ("example.com", "/en/x", "example.com/en/", "block") and got[6][2:] == ("www.example.com/en/", "allow")
@@ -638,17 +816,114 @@ def test_url_fallback_agrees(spark, odd):
     assert got[0] == ("", "", None, "allow") and got[12][3] == "block" and got[11][2:] == (None, "allow")
 
 
+def test_levels_are_bounded(spark, monkeypatch):
+    assert url_filter.level_bits(1000, 10**9) * 0.9 < 1.4427 * math.log2(10**6) < url_filter.level_bits(1000, 10**9) + 1
+    universe = spark.range(40_000).selectExpr("xxhash64(id) AS h", "id % 400 = 0 AS listed")
+    cascade = url_filter.build_cascade(universe)
+    keys = {r["h"]: r["listed"] for r in universe.collect()}
+    hashed = np.array(list(keys), np.int64).view(np.uint64)
+    assert cascade.member(hashed).tolist() == list(keys.values())
+    assert all(len(bits) * 64 <= 2 * 100 * url_filter.level_bits(100, 40_000) for bits in cascade.levels)
+    assert url_filter.build_cascade(universe, max_bits=10) is None
+    monkeypatch.setattr(url_filter, "MAX_LEVELS", 3)
+    assert url_filter.build_cascade(spark.createDataFrame([(5, True), (5, False)], "h long, listed boolean")) is None
+
+
 # pipeline
 
 
+@pytest.fixture(scope="module")
+def crowd(spark, tmp_path_factory):
+    """Tables whose documents have a column for every internal name."""
+    folder = str(tmp_path_factory.mktemp("crowd"))
+    crowded(spark.read.parquet(f"{DIR}/documents.parquet")).write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{DIR}/labels.parquet").selectExpr("*", "'z' AS y", "1 AS good", "2 AS _id").write.parquet(f"{folder}/labels.parquet")
+    return folder
+
+
+def test_stages_and_clashing_columns(spark, crowd):
+    """Each stage on its predecessor's rows: against plain versions of what it decides, with and without clashing columns."""
+    import corpus_pipeline
+
+    plain, docs = spark.read.parquet(f"{DIR}/documents.parquet"), spark.read.parquet(f"{crowd}/documents.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = {r["doc_id"]: r for r in plain.collect()}
+        rows_, crowd_ = stage(spark, plain, DIR).collect(), stage(spark, docs, crowd)
+        assert k == 4 or crowd_.columns == docs.columns
+        out = crowd_.collect()
+        if k < 3:
+            assert all(before[r["doc_id"]] == r for r in rows_)  # whole rows, as they came
+            assert all([r[c] for c in INTERNAL] == [f"v{i}" for i in range(len(INTERNAL))] for r in out)
+        assert Counter(r["doc_id"] for r in out) == Counter(r["doc_id"] for r in rows_)
+        ids = {r["doc_id"] for r in rows_}
+        if name == "quality rules":
+            assert not any(python_base(before[i]["text"])[0] < 50 for i in ids)
+        elif name == "quality classifier":
+            label = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{DIR}/labels.parquet").collect()}
+            assert all(i in ids for i in before if label.get(i) == 1)
+        elif name == "near dedup":
+            order = sorted(before)
+            cache = minhash.WordHashes()
+            sets = {i: set(minhash.shingles(before[i]["text"], 5, cache).tolist()) for i in order}
+            up = {i: i for i in order}
+
+            def find(i):
+                while up[i] != i:
+                    i = up[i]
+                return i
+
+            for i in order:
+                for j in order[: order.index(i)]:
+                    both = len(sets[i] & sets[j])
+                    if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                        a, b = sorted((find(i), find(j)))
+                        up[b] = a
+            assert ids == {i for i in order if find(i) == i}
+        elif name == "mixing":
+            size = {i: len(words(r["text"])) for i, r in before.items()}
+            took = Counter()
+            for r in rows_:
+                took[r["doc_id"]] += len(words(r["text"]))
+                assert before[r["doc_id"]]["text"].startswith(r["text"]) and r["n_chars"] == len(r["text"])
+            assert all(took[i] <= 3 * size[i] for i in took)
+            by_source, target = Counter(), mixing.targets(spark.createDataFrame(list(Counter_of(before, size).items()), "src string, source_size long")).collect()
+            for i, n in took.items():
+                by_source["s" + before[i]["source"]] += n
+            assert all(abs(by_source[t["src"]] - t["target"]) <= 1 for t in target)
+        else:
+            fill, pieces = Counter(), Counter()
+            for r in rows_:
+                fill[r["sequence_id"]] += r["length"]
+                pieces[r["doc_id"]] += r["piece"] == 0
+            assert max(fill.values()) <= 1024 and pieces == Counter(r["doc_id"] for r in plain.collect())
+        if k < 4:
+            plain, docs = spark.createDataFrame(rows_, plain.schema), spark.createDataFrame(out, docs.schema)
+
+
+def Counter_of(before, size):
+    out = Counter()
+    for i, r in before.items():
+        out["s" + r["source"]] += size[i]
+    return out
+
+
 def test_pipeline(spark, odd):
     import corpus_pipeline
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "quality classifier", "near dedup", "mixing", "packing"]
-    docs = spark.read.parquet(f"{DIR}/documents.parquet")
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        out = stage(spark, docs, DIR)
-        assert k == 4 or out.columns == docs.columns
-        docs = spark.createDataFrame(out.collect(), out.schema)
-    assert docs.count() > 20
-    assert corpus_pipeline.run(spark, odd[1]).count() == 0 and corpus_pipeline.run(spark, odd[0]).count() >= 0
+    assert corpus_pipeline.run(spark, odd[1]).count() == 0
+    out = corpus_pipeline.run(spark, odd[0])
+    known = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{odd[0]}/documents.parquet").collect()}
+    for r in out.collect():
+        assert python_base(known[r["doc_id"]])[0] >= 50 and 1 <= r["length"] <= 1024
+
+
+def test_pipeline_leaves_only_its_result(spark):
+    import corpus_pipeline
+    from dredge.storage import file_system
+
+    out = corpus_pipeline.run(spark, DIR)
+    folder = out.inputFiles()[0].rpartition("/")[0]
+    fs, path = file_system(spark, folder)
+    assert [s.getPath().getName() for s in fs.listStatus(path(folder).getParent())] == ["4"]
+    assert out.count() > 20
