@@ -231,6 +231,18 @@ class Index:
         rows = self.spark.read.schema(schema).option("basePath", f"{self.folder}/{name}").parquet(*[f"{self.folder}/{name}/gen={g}" for g in gens])
         return rows.drop("gen") if len(gens) == 1 else rows.join(shards, ["shard", "gen"], "left_semi").drop("gen")
 
+    def listing(self, folder: str = "", state: str | None = None) -> DataFrame:
+        """(path, size, mtime_ns) of the indexed files below a folder, in path order."""
+        files = self.table("files", state).select("path", "size", "mtime_ns")
+        return (files.where(F.col("path").startswith(f"{folder.strip('/')}/")) if folder.strip("/") else files).orderBy("path")
+
+    def file(self, path: str, state: str | None = None) -> DataFrame:
+        """The one row of a file; raises if it is not indexed."""
+        found = self.table("files", state).where(F.col("path") == path)
+        if found.isEmpty():
+            raise FileNotFoundError(path)
+        return found
+
     def manifest(self, state: str | None = None) -> DataFrame:
         return manifest(self.table("files", state))
 

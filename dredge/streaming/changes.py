@@ -5,12 +5,14 @@ from __future__ import annotations
 import threading
 import uuid
 from dataclasses import replace
+from time import monotonic
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dredge.conf import EngineConf
 from dredge.operators.delta import reconcile
+from dredge.operators.index import Index
 from dredge.operators.ranged import RANGE, carried, in_ranges, running
 from dredge.schemas import DELTA
 from dredge.sources.corpus import route
@@ -75,16 +77,22 @@ class DeltaWriter:
 
     A micro-batch every ``debounce_ms`` takes the changes since the last one together. A batch that runs again
     overwrites its own folder, so each is applied once. ``barrier`` returns when all changes that the source
-    has listed are in the table, or after ``barrier_timeout_ms``.
+    has listed are in the table, or after ``barrier_timeout_ms``. With an index, shards that have collected
+    ``rebuild_threshold`` changes are written anew, every ``rebuild_interval_ms`` at most; the changes stay
+    in the table, where they hide nothing newer.
     """
 
-    def __init__(self, changes: DataFrame, folder: str, checkpoint: str, conf: EngineConf | None = None):
+    def __init__(self, changes: DataFrame, folder: str, checkpoint: str, conf: EngineConf | None = None, index: Index | None = None):
+        self.index, self.compacted = index, monotonic()
         self.spark, self.folder, self.conf = changes.sparkSession, folder.rstrip("/"), conf or EngineConf()
         writer = changes.writeStream.foreachBatch(self._apply).option("checkpointLocation", checkpoint).trigger(processingTime=f"{self.conf.debounce_ms} milliseconds")
         self.query = writer.queryName(f"delta-{uuid.uuid4().hex[:8]}").start()
 
     def _apply(self, batch: DataFrame, number: int) -> None:
         as_delta(batch, number, self.conf).write.mode("overwrite").parquet(f"{self.folder}/seq={number}-rows")
+        if self.index is not None and monotonic() - self.compacted >= self.conf.rebuild_interval_ms / 1000:
+            self.index.compact(self.delta(), self.conf.rebuild_threshold)
+            self.compacted = monotonic()
 
     def barrier(self, timeout_ms: int | None = None) -> bool:
         """Whether the table has all changes; False if the time ran out (0: no limit), and reads may be stale."""

@@ -91,6 +91,9 @@ def test_index(spark, tmp_path):
     index.build(files.limit(1), target=64, least=32)
     assert len(index.clean()) == 2 and index.table("files").count() == 1 and index.size() > 0
     assert [r["path"] for r in index.references("token0").collect()] == ["d0/f0.txt"]
+    assert index.file("d0/f0.txt").first()["size"] == 8 and [r["path"] for r in index.listing("d0").collect()] == ["d0/f0.txt"]
+    with pytest.raises(FileNotFoundError):
+        index.file("none")
     with pytest.raises(RuntimeError):  # two writers began with one version
         index._point(index.shards(), max(index._versions()) - 1)
     assert index.forget()
@@ -98,7 +101,23 @@ def test_index(spark, tmp_path):
         index.search("token17")
 
 
+def test_stream_compacts_its_index(spark, root, tmp_path):
+    tree.register(spark)
+    index = Index(spark, str(tmp_path / "index"))
+    index.build(spark.createDataFrame([("a.go", 1, 1, "old\n")], "path string, size long, mtime_ns long, text string"), target=64, least=32)
+    stream = spark.readStream.format("filetree").option("path", str(root)).option("changes", "true").option("listings", str(tmp_path / "listings")).load()
+    writer = DeltaWriter(stream, str(tmp_path / "delta"), str(tmp_path / "check"), EngineConf(rebuild_interval_ms=0), index)
+    try:
+        assert writer.barrier(0)
+        assert [r["path"] for r in index.search("HelloWorld", hidden=True).collect()] == [".hidden/h", "_x/y.txt", "a.go"] and index.search("old").isEmpty()
+        assert {r["mtime_ns"] for r in index.listing().collect()} == {m for _, _, m in tree.walk(str(root))}
+    finally:
+        writer.stop()
+
+
 def test_small_helpers(spark):
+    assert EngineConf().uses_index(10 << 20) and not EngineConf().uses_index(5) and EngineConf(engine="disk").uses_index(5) and not EngineConf(engine="memory").uses_index(1 << 40)
+    assert EngineConf.load({"DREDGE_ENGINE": "odd", "DREDGE_GITIGNORE": "1"}).overrides() == ["gitignore=True"]
     assert parse_size("2K") == 2048 and parse_size("1G") == 1 << 30 and EngineConf.load({"DREDGE_LIMIT": "5"}).overrides() == ["limit=5"]
     with pytest.raises(ValueError):
         parse_size("2X")
