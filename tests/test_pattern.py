@@ -56,7 +56,7 @@ def test_rejected(pattern):
 
 @pytest.mark.parametrize(
     "pattern, fixed, literal",
-    [("HelloWorld", False, "HelloWorld"), (r"func Get\w+\(", False, "func Get"), ("a|b", False, ""), ("x?", False, ""), ("(prefix)+suffix", False, "prefix"), ("ab", False, ""), ("foo(bar|baz)", False, "foo"), ("a.b*c", True, "a.b*c"), ("(abc){2}", False, "abc"), ("(?i)ABC.def", False, "abc"), ("[x]yz", False, "xyz")],
+    [("lamp oil", False, "lamp oil"), (r"wick\.[a-z]+ burns", False, " burns"), ("oil|wax", False, ""), ("w?", False, ""), ("(glow)+er", False, "glow"), ("wx", False, ""), ("lamp(post|light)", False, "lamp"), ("w.x*y", True, "w.x*y"), ("(wax){2}", False, "wax"), ("(?i)WAX.oil", False, "wax"), ("[w]ick", False, "wick")],
 )
 def test_required_literal(pattern, fixed, literal):
     assert P.required_literal(pattern, fixed) == literal
@@ -64,7 +64,7 @@ def test_required_literal(pattern, fixed, literal):
 
 @pytest.mark.parametrize(
     "pattern, fixed, nocase, line, at",
-    [("needle", False, False, "a needle here", 2), ("needle", False, False, "no match", None), ("NeEdLe", False, True, "a needle here", 2), ("a+b", False, False, "xx aaab yy", 3), ("a+b", True, False, "literal a+b here", 8), ("需要", False, False, "中文需要匹配", 6), ("(a+)+b", False, False, "é aab", 3)],
+    [("wick", False, False, "the wick burns", 4), ("wick", False, False, "no lamp", None), ("wIcK", False, True, "éé wick", 5), ("o+il", False, False, "lamp oooil", 5), ("o+il", True, False, "pattern: o+il", 9), ("ÄÖ", False, False, "日本ÄÖ語", 6), ("(o+)+il", False, False, "é ooil", 3), ("öl", False, True, "LAMPENÖL", 6)],
 )
 def test_offsets(spark, pattern, fixed, nocase, line, at):
     m = Matcher(pattern, fixed, nocase)
