@@ -39,7 +39,7 @@ def crc(doc_id):
 def frame(spark, data=None, extra=True):
     """Documents, with extra columns whose names operators use inside."""
     df = spark.createDataFrame(rows() if data is None else data, DOCS)
-    return df.selectExpr("*", "'x' AS w", "'y' AS score", "1 AS size", "2 AS b", "'z' AS key", "'q' AS sig") if extra else df
+    return crowded(df) if extra else df
 
 
 def put(df, folder, name):
