@@ -1,12 +1,4 @@
-"""Fixed schemas of the engine's tables."""
+"""Fixed schemas of the engine's stored tables."""
 
-FILES = "path string, size long, mtime_ns long, content binary, text string, route string"
-LINES = "path string, line int, text string"
-MATCHES = "path string, line int, text string, col int, line_len int"
-COUNTS = "path string, count long"
 DEFS = "path string, name string, kind string, container string, line int, text string"
-REFS = "path string, name string, kind string, line int, text string"
-MANIFEST = "shard int, path_min string, path_max string, n_files long, bytes long"
 DELTA = "path string, deleted boolean, seq long, size long, mtime_ns long, text string"
-#: Routes of a file; only the last two are not searched by default.
-ROUTES = ("indexed", "large", "budget", "binary", "error")
