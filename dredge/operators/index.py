@@ -157,7 +157,8 @@ NAMED_SHARDS = 10_000
 class Index:
     """An index on disk: Parquet tables files, postings and defs, partitioned by generation and shard.
 
-    A version is a Parquet table ``versions/<number>`` of (shard, gen): the generation that holds each shard.
+    A version is a Parquet table ``versions/<number>`` of (shard, gen), partitioned by gen: the generation that holds
+    each shard.
     Building and compacting write a new generation and then the next version under another name, which a
     rename makes visible as a whole; the highest number is current. A reader keeps the version that it began
     with; generations and versions that are no longer current are deleted later, by ``clean``.
@@ -189,11 +190,18 @@ class Index:
         """(shard, gen) of a version."""
         return self.spark.read.schema("shard int, gen string").parquet(state or self.state())
 
+    def generations(self, state: str | None = None) -> list[str]:
+        """The generations in use in a version: as many as compactions since the last full build, and one."""
+        state = state or self.state()
+        fs, path = file_system(self.spark, state)
+        names = [s.getPath().getName() for s in fs.listStatus(path(state))]
+        return sorted(n.removeprefix("gen=") for n in names if n.startswith("gen="))
+
     def _point(self, shards: DataFrame, after: int) -> str:
         """Make (shard, gen) the version after number ``after``; raises if another writer was faster."""
         fs, path = file_system(self.spark, self.folder)
         fresh, final = f"{self.folder}/versions/_{uuid.uuid4().hex}", f"{self.folder}/versions/{after + 1}"
-        shards.select(F.col("shard").cast("int"), "gen").coalesce(1).write.parquet(fresh)
+        shards.select(F.col("shard").cast("int"), "gen").coalesce(1).write.partitionBy("gen").parquet(fresh)
         if fs.exists(path(final)) or not fs.rename(path(fresh), path(final)):
             raise RuntimeError("another writer has changed the index")
         return final
@@ -223,13 +231,13 @@ class Index:
         The generations in use are as many as builds and compactions since the last full one; their folders
         are read as they are, and a join with the version's shards leaves out the shards that were replaced.
         """
-        shards = self.shards(state)
-        gens = [r["gen"] for r in shards.select("gen").distinct().collect()]
+        state = state or self.state()
+        gens = self.generations(state)
         schema = f"{self.TABLES[name]}, gen string, shard int"
         if not gens:
             return self.spark.createDataFrame([], schema).drop("gen")
         rows = self.spark.read.schema(schema).option("basePath", f"{self.folder}/{name}").parquet(*[f"{self.folder}/{name}/gen={g}" for g in gens])
-        return rows.drop("gen") if len(gens) == 1 else rows.join(shards, ["shard", "gen"], "left_semi").drop("gen")
+        return rows.drop("gen") if len(gens) == 1 else rows.join(self.shards(state), ["shard", "gen"], "left_semi").drop("gen")
 
     def listing(self, folder: str = "", state: str | None = None) -> DataFrame:
         """(path, size, mtime_ns) of the indexed files below a folder, in path order."""
@@ -323,7 +331,7 @@ class Index:
     def clean(self) -> list[str]:
         """Delete generations that no shard of the current version is in, and older versions; the generations' names."""
         fs, path = file_system(self.spark, self.folder)
-        used, gone = {f"gen={r['gen']}" for r in self.shards().select("gen").distinct().collect()}, set()
+        used, gone = {f"gen={g}" for g in self.generations()}, set()
         for name in self.TABLES:
             base = path(f"{self.folder}/{name}")
             for s in fs.listStatus(base) if fs.exists(base) else []:

@@ -461,7 +461,7 @@ def _(spark, sf_dir):
 @query("index_refs", G.refs_sql())
 def _(spark, sf_dir):
     """Uses of a name in the files that hold its trigrams, by a stored index."""
-    return stored_index(spark, sf_dir).references("ring").where(F.col("path").endswith(G.USES.ext))
+    return stored_index(spark, sf_dir).references("ring", globs=[f"*{G.USES.ext}"])
 
 
 @query("refs_limit", G.refs_sql() + " ORDER BY path, line LIMIT 7")
