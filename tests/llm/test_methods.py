@@ -279,6 +279,32 @@ def test_own_share_is_a_recount(spark):
     assert fair == pytest.approx(plain, abs=1e-9)
 
 
+def test_every_trusted_document_counts(spark):
+    n = 20_500
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('a b w', id % 7) AS text")
+    trusted = quality_llr.trusted_ids(spark.range(n).selectExpr("id AS doc_id", "1 AS quality"))
+    assert trusted.count() == n
+    assert quality_llr.log_ratios(docs, trusted).first()["all_good"] == 5 * n
+    assert quality_llr.fair_scores(docs, trusted, quality_llr.log_ratios(docs, trusted)).where("_trusted AND score IS NOT NULL").count() == n
+
+
+def test_ids_by_broadcast_and_by_shuffle(spark, odd, monkeypatch):
+    found = []
+    for limit, bits in ((quality_llr.BROADCAST_IDS, quality_llr.MOST_BITS), (0, 64)):  # 64 bits: others pass the filter too
+        monkeypatch.setattr(quality_llr, "BROADCAST_IDS", limit)
+        monkeypatch.setattr(quality_llr, "MOST_BITS", bits)
+        found.append({(r["doc_id"], r["n_words"]): (r["kept"], round(r["score"] or 0, 9)) for f in (odd[0], DIR) for r in quality_llr.op3_quality_rules(spark, f).collect()})
+    assert found[0] == found[1]
+
+
+@pytest.mark.parametrize("share", [0.0, 0.005, 0.5, 1.0])
+def test_quantile_is_exact(spark, share):
+    values = sorted(float(i * i % 30_011) for i in range(30_000))
+    scores = spark.createDataFrame([(v,) for v in values], "score double")
+    assert quality_llr.quantile(scores, share) == values[max(0, math.ceil(share * len(values)) - 1)]
+    assert quality_llr.quantile(scores.limit(0), share) is None
+
+
 # chat formatting
 
 
