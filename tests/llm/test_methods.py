@@ -288,6 +288,15 @@ def test_every_trusted_document_counts(spark):
     assert quality_llr.fair_scores(docs, trusted, quality_llr.log_ratios(docs, trusted)).where("_trusted AND score IS NOT NULL").count() == n
 
 
+def test_stage_trusts_every_good_document(spark, monkeypatch):
+    seen, ratios = [], quality_llr.log_ratios
+    monkeypatch.setattr(quality_llr, "log_ratios", lambda docs, trusted: seen.append(trusted.count()) or ratios(docs, trusted))
+    docs = spark.createDataFrame([(i, " ".join(f"w{i + j}" for j in range(60 if i else 3)), "x") for i in range(3)], "doc_id long, text string, _key string")
+    kept = quality_llr.keep_documents(docs, spark.range(20_500).selectExpr("id AS doc_id", "1 AS quality"))
+    assert seen == [20_500] and kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2]
+
+
 def test_ids_by_broadcast_and_by_shuffle(spark, odd, monkeypatch):
     found = []
     for limit, bits in ((quality_llr.BROADCAST_IDS, quality_llr.MOST_BITS), (0, 64)):  # 64 bits: others pass the filter too
