@@ -55,43 +55,48 @@ def hashes(w: Column) -> Column:
     return F.transform(w, lambda x: F.xxhash64(x))
 
 
-def ngrams(h: Column) -> Column:
-    """Hashes of all words and of all pairs of adjacent words, from the word hashes."""
+def pairs(h: Column) -> Column:
+    """Hashes of all pairs of adjacent words, from the word hashes."""
     n = F.greatest(F.size(h) - 1, F.lit(0))
-    return F.concat(h, F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(2), n), lambda a, b: F.xxhash64(a, b)))
+    return F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(2), n), lambda a, b: F.xxhash64(a, b))
 
 
 def bucket(gram: Column, buckets: int) -> Column:
     return F.pmod(gram, F.lit(buckets)).cast("int")
 
 
-def repeated_words(w: Column, h: Column) -> Column:
-    """Words that lie in a 3-word window found twice or more in the text.
+def repeated_words(w: Column, p: Column) -> Column:
+    """Words that lie in a 3-word window found twice or more in the text, from the words and the hashes of their pairs.
 
-    If the windows' hashes are all distinct so are the windows; only else are the windows themselves sorted.
+    If the windows' hashes are all distinct so are the windows; only else are the windows themselves sorted, those
+    whose hash (33 bits of it, above the place) is found twice.
     """
-    n = F.size(w)
-    places = F.sequence(F.lit(0), n - 3)
-    hashed = F.transform(places, lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)))
-    windows = F.transform(
-        places,
-        lambda i: F.struct(F.concat(F.get(w, i), F.lit(" "), F.get(w, i + 1), F.lit(" "), F.get(w, i + 2)).alias("t"), i.alias("i")),
-    )
-    twice = let(
-        F.array_sort(windows),
-        lambda s: F.transform(
-            F.filter(s, lambda x, i: (x["t"] == F.get(s, i + 1)["t"]) | ((i > 0) & (x["t"] == F.get(s, i - 1)["t"]))),
-            lambda x: x["i"],
-        ),
-    )
-    # windows of three words at ascending places: each adds what the one before does not cover
-    covered = F.aggregate(
-        F.array_sort(twice),
-        F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")),
-        lambda acc, p: F.struct(p.alias("last"), (acc["n"] + F.least(F.lit(3), p - acc["last"])).alias("n")),
-        lambda acc: acc["n"],
-    )
-    return F.when(n < 4, F.lit(0)).when(F.size(F.array_distinct(hashed)) == n - 2, F.lit(0)).otherwise(covered)
+    n = F.greatest(F.size(p) - 1, F.lit(0))
+    hashed = F.zip_with(F.slice(p, F.lit(1), n), F.slice(p, F.lit(2), n), lambda a, b: F.xxhash64(a, b))
+    near = lambda x, y: F.shiftright(x.bitwiseXOR(y), 31) == 0
+
+    def suspects(v: Column) -> Column:
+        placed = F.sort_array(F.transform(v, lambda x, i: F.shiftleft(x, 31).bitwiseOR(i.cast("long"))))
+        alike = let(placed, lambda s: F.filter(s, lambda x, i: near(x, F.get(s, i + 1)) | near(x, F.get(s, i - 1))))
+        return F.transform(alike, lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
+
+    def windows(places: Column) -> Column:
+        return F.transform(places, lambda i: F.struct(F.concat(F.get(w, i), F.lit(" "), F.get(w, i + 1), F.lit(" "), F.get(w, i + 2)).alias("t"), i.alias("i")))
+
+    def covered(v: Column) -> Column:
+        twice = let(
+            F.sort_array(windows(suspects(v))),
+            lambda s: F.transform(F.filter(s, lambda x, i: (x["t"] == F.get(s, i + 1)["t"]) | (x["t"] == F.get(s, i - 1)["t"])), lambda x: x["i"]),
+        )
+        # windows of three words at ascending places: each adds what the one before does not cover
+        return F.aggregate(
+            F.sort_array(twice),
+            F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")),
+            lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(3), i - acc["last"])).alias("n")),
+            lambda acc: acc["n"],
+        )
+
+    return let(hashed, lambda v: F.when(F.size(F.array_distinct(v)) == F.size(v), F.lit(0)).otherwise(covered(v)))
 
 
 def duplicate_lines(text: Column) -> Column:
@@ -100,14 +105,14 @@ def duplicate_lines(text: Column) -> Column:
     return let(lines, lambda a: F.size(a) - F.size(F.array_distinct(a)))
 
 
-def base_columns(t: Column, w: Column, h: Column) -> dict[str, Column]:
-    """From a text, its words and their hashes: the base statistics."""
+def base_columns(t: Column, w: Column, p: Column) -> dict[str, Column]:
+    """From a text, its words and the hashes of their pairs: the base statistics."""
     return {
         "n_words": F.size(w).cast("long"),
-        "word_chars": F.aggregate(w, F.lit(0), lambda acc, x: acc + F.length(x)).cast("long"),
+        "word_chars": F.length(F.array_join(w, "")).cast("long"),
         "n_symbols": F.regexp_count(t, F.lit(SYMBOLS)).cast("long"),
         "n_dup_lines": duplicate_lines(t).cast("long"),
-        "n_repeat_words": repeated_words(w, h).cast("long"),
+        "n_repeat_words": repeated_words(w, p).cast("long"),
     }
 
 
@@ -144,7 +149,12 @@ def may_be_trusted(bits: Column) -> Column:
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smooth: float = SMOOTH) -> DataFrame:
     """One row: arrays over the buckets of the log-likelihood ratios, of the same less a single n-gram of one's own (``alone``), and of the trusted counts; their sum."""
     rows = marked(docs.select("doc_id", "text"), trusted)
-    grams = rows.select(F.col("_trusted").cast("long").alias("good"), F.explode(let(hashes(words(F.col("text"))), ngrams)).alias("g"))
+    good = F.col("_trusted").cast("long").alias("good")
+    # a row per word, then one per n-gram: without lambdas all of it is compiled
+    w = rows.select(good, words(F.col("text")).alias("w")).select("good", "w", F.posexplode("w").alias("at", "word"))
+    h, following = F.xxhash64("word"), F.get("w", F.col("at") + 1)
+    both = w.select("good", h.alias("h"), F.when(following.isNotNull(), F.xxhash64(h, F.xxhash64(following))).alias("p"))
+    grams = both.select("good", F.explode(F.array("h", "p")).alias("g")).where("g IS NOT NULL")
     counts = grams.groupBy(bucket(F.col("g"), buckets).alias("b")).agg(F.count("*").alias("raw"), F.sum("good").alias("good"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").fillna(0)
     row = every.agg(F.sort_array(F.collect_list(F.struct("b", "raw", "good"))).alias("rows"), F.sum("raw").alias("all_raw"), F.sum("good").alias("all_good"))
@@ -194,15 +204,15 @@ def scored(docs: DataFrame, model: DataFrame, min_words: int = MIN_WORDS, bucket
         return F.struct(mean_weight(g, F.col("weights")).alias("score"), *([F.when(F.col("_maybe") & (F.size(g) > 0), let(F.sort_array(g), own)).alias("left_out")] if fair else []))
 
     def measured(x: Column) -> Column:
-        grams = F.transform(ngrams(x["h"]), lambda g: bucket(g, buckets))
-        return F.struct(*[v.alias(k) for k, v in base_columns(x["t"], x["w"], x["h"]).items()], let(grams, scores).alias("s"))
+        grams = F.transform(F.concat(x["h"], x["p"]), lambda g: bucket(g, buckets))
+        return F.struct(*[v.alias(k) for k, v in base_columns(x["t"], x["w"], x["p"]).items()], let(grams, scores).alias("s"))
 
     def checked(x: Column) -> Column:
         failed = (x["n_words"] < min_words) | (100 * x["n_repeat_words"] > 50 * x["n_words"])
         return F.struct(*[x[k].alias(k) for k in MEASURES], failed.alias("base_failed"), x["s"].alias("s"))
 
     split = F.struct(F.coalesce("_text", F.lit("")).alias("t"), words(F.col("_text")).alias("w"))
-    hashed = let(split, lambda x: F.struct(x["t"].alias("t"), x["w"].alias("w"), hashes(x["w"]).alias("h")))
+    hashed = let(split, lambda x: let(hashes(x["w"]), lambda h: F.struct(x["t"].alias("t"), x["w"].alias("w"), h.alias("h"), pairs(h).alias("p"))))
     # one expression with all results as fields measures a text once. The arrays of the model are used once, in
     # the projection that names them, so no row carries a copy.
     for name in ("weights", "alone", "counts", "all_good") if fair else ("weights",):

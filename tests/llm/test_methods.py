@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 import struct
 import zlib
 from collections import Counter, defaultdict
@@ -251,6 +252,27 @@ def test_quality_rules(spark, odd, source):
         assert r["kept"] == (not r["base_failed"] and score is not None and score >= cut - 1e-9)
 
 
+def test_repeated_words_of_repetitive_texts(spark):
+    texts = ["", "a", "a b", "a a a", "a a a a", "a b a b", "a b a b a b c", "a b c d a b c", "x a b c y a b c a b c z", "a b c  a\nb\tc a", " ".join(f"w{i % 7} v{i % 3}" for i in range(500)), " ".join(f"w{i * i % 41}" for i in range(300))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r[m] for m in quality_llr.MEASURES) for r in quality_llr.judge(docs, docs.select("doc_id").limit(0)).collect()}
+    assert got == {i: python_base(t) for i, t in enumerate(texts)}
+
+
+def test_counting_is_compiled_and_no_sort_calls_back(spark):
+    docs = spark.createDataFrame([(i, f"a b c w{i}") for i in range(5)], "doc_id long, text string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        ratios = quality_llr.log_ratios(docs, docs.select("doc_id"))
+        counting, scoring = plan(ratios), plan(quality_llr.scored(docs, ratios))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    generates = re.findall(r"(\*\(\d+\) )?Generate \w*explode", counting)
+    assert generates and all(generates)  # a generator that holds a lambda is not compiled
+    assert "array_sort(" not in scoring  # it compares by a lambda; sort_array does not
+
+
 def test_rules_keep_good_and_drop_junk(spark):
     judged = quality_llr.op3_quality_rules(spark, MORE).join(spark.read.parquet(f"{MORE}/labels.parquet"), "doc_id").where("n_words >= 50").collect()
     good, bad = [r["kept"] for r in judged if r["quality"] == 1], [r["kept"] for r in judged if r["quality"] == 0]
