@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from dredge.operators.delta import dirty_shards, latest, overlay, with_mtime
 from dredge.operators.ignores import TREE_FILE, load_rules
 from dredge.operators.lines import Matcher
-from dredge.operators.ranged import in_ranges, running
+from dredge.operators.ranged import RANGE, in_ranges, running
 from dredge.operators.symbols import DEF_COLUMNS, definitions, find_references
 from dredge.plans.pattern import flags_free
 from dredge.plans.search import scoped, search, united
@@ -78,42 +79,93 @@ def candidates(post: DataFrame, keys: list[int]) -> DataFrame:
     return hit.where(F.col("n") == len(keys)).select("path")
 
 
-#: Bytes that one task packs, as a multiple of a shard's size: beyond, shards are packed by ranges of paths.
+#: Bytes of a range of paths, which one task packs, as a multiple of a shard's size.
 RANGE_SHARDS = 1000
+#: Files of a range at most: a task holds their sizes.
+RANGE_FILES = 2_000_000
 #: Shard numbers set aside for each range.
 SHARDS_A_RANGE = 1_000_000
 
 
-def pack_shards(files: DataFrame, target: int = SHARD_TARGET, least: int = SHARD_MIN) -> DataFrame:
-    """(path, shard): files in path order, a shard closed once it has ``target`` bytes; a last shard of under
-    ``least`` bytes joins the one before.
+def crossings(sizes: np.ndarray, target: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a range of files (sizes in path order) makes of the shard that is open before it, as arrays (upto, closed, filled).
 
-    The fold goes over (path, size) of a range of paths of about ``RANGE_SHARDS`` shards, one task each; a
-    corpus of no more is one range. It streams and holds only the last shard's paths.
+    If that shard lacks ``upto`` bytes, or fewer but more than the entry before, ``closed`` shards are closed in the range
+    and the one then open has ``filled`` bytes of it. If it lacks more than the last ``upto``, it gets the whole range and
+    stays open. There are entries for the files of the first ``target`` bytes only.
+    """
+    upto = np.cumsum(sizes, dtype=np.int64)
+    n, before = len(sizes), np.concatenate(([0], upto))
+    at = np.arange(n + 1)
+    end = np.searchsorted(upto, before + target) + 1  # the file after the one that fills a shard begun at a file
+    onward, closed = np.where(end <= n, end, at), (end <= n).astype(np.int64)
+    while (further := closed[onward]).any():  # twice as many shards at a time
+        closed, onward = closed + further, onward[onward]
+    first = 1 + np.arange(np.searchsorted(before[:-1], target))  # where the second shard may begin
+    closed, filled = 1 + closed[first], before[n] - before[onward[first]]
+    last = np.append((closed[1:] != closed[:-1]) | (filled[1:] != filled[:-1]), True)
+    return upto[first - 1][last], closed[last], filled[last]
+
+
+def packed(files: DataFrame, target: int = SHARD_TARGET, least: int = SHARD_MIN, apart: int = SHARDS_A_RANGE) -> DataFrame:
+    """(path, size, shard): files in path order, a shard closed once it has ``target`` bytes; a last shard of under
+    ``least`` bytes joins the one before. Equal paths go by size.
+
+    The fold over all files is made of ranges of paths, one task each: every range tells what it makes of each shard that
+    may be open before it (``crossings``), one task goes through these few numbers, and then each range is packed from the
+    shard that is in fact open there. Numbers rise with the path; the first shard that a range closes is followed by one
+    above range x ``apart``, so 0 numbers all shards 0, 1, 2 and so on.
     """
 
+    def outlook(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column(0).to_numpy(), b.column(1)[0].as_py()) for b in batches if b.num_rows]
+        if parts:
+            sizes = np.concatenate([p for p, _ in parts])
+            upto, closed, filled = crossings(sizes, target)
+            alike = [np.full(len(upto), v, np.int64) for v in (parts[0][1], sizes.sum())]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*alike, upto, closed, filled)], [RANGE, "total", "upto", "closed", "filled"])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, at, lacks, filled, shard, earlier = [], -1, 0, 0, 0, 0
+        for batch in batches:
+            for part, total, upto, closed, left in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != at:
+                    rows.append((part, filled, shard, earlier))
+                    at, lacks, filled = part, target - filled, filled + total
+                if lacks <= upto:
+                    lacks, filled, before = math.inf, left, shard
+                    shard = max(shard, part * apart) + closed
+                    earlier = before if closed == 1 else shard - 1
+        rows.append((-1, filled, shard, earlier))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], [RANGE, "filled", "shard", "earlier"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, shard, filled, held = 0, 0, 0, []
+        at, filled, shard = -1, 0, 0
         for batch in batches:
-            done: list[tuple[str, int]] = []
-            for path, size, part in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                first = part * SHARDS_A_RANGE
-                held.append(path)
+            shards = []
+            for size, part in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if part != at:
+                    at, (filled, shard, _) = part, begin[part]
+                shards.append(min(shard, top))
                 filled += size
                 if filled >= target:
-                    done += [(p, first + shard) for p in held]
-                    shard, filled, held = shard + 1, 0, []
-            if done:
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.string()), pa.array([k for _, k in done], pa.int32())], ["path", "shard"])
-        if held:
-            own = shard - 1 if filled < least and shard else shard
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array([first + own] * len(held), pa.int32())], ["path", "shard"])
-
-    sizes = files.select("path", F.least("size", F.lit(target)).alias("size"))
-    total = sizes.agg(F.sum("size")).first()[0] or 0
-    ranges = max(1, -(-total // (target * RANGE_SHARDS)))
-    dealt = files.select("path", "size").repartitionByRange(ranges, "path") if ranges > 1 else files.select("path", "size").repartition(1)
-    return dealt.withColumn("part", F.spark_partition_id()).sortWithinPartitions("path").mapInArrow(run, "path string, shard int")
+                    filled, shard = 0, max(shard, part * apart) + 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shards, pa.int32())], ["path", "size", "shard"])
+
+    sizes = files.select("path", F.col("size").cast("long").alias("size"))
+    total, count = sizes.agg(F.sum(F.least("size", F.lit(target))), F.count("*")).first()
+    ranged = in_ranges(sizes, ["path"], max(1, -(-(total or 0) // (target * RANGE_SHARDS)), -(-count // RANGE_FILES))).sortWithinPartitions("path", "size")
+    few = ranged.select("size", RANGE).mapInArrow(outlook, f"{RANGE} long, total long, upto long, closed long, filled long")
+    found = few.repartition(1).sortWithinPartitions(RANGE, "upto").mapInArrow(walk, f"{RANGE} long, filled long, shard long, earlier long")
+    begin = {part: state for part, *state in found.collect()}  # one for each range
+    filled, last, earlier = begin.pop(-1, (0, 0, 0))
+    top = earlier if filled < least else last
+    return ranged.mapInArrow(run, "path string, size long, shard int")
+
+
+def pack_shards(files: DataFrame, target: int = SHARD_TARGET, least: int = SHARD_MIN) -> DataFrame:
+    """(path, shard) of ``packed``, with numbers set aside for each range."""
+    return packed(files, target, least).select("path", "shard")
 
 
 def manifest(sharded: DataFrame) -> DataFrame:

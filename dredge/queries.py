@@ -506,6 +506,10 @@ s AS (SELECT path, size, (CASE WHEN shard > 0 AND shard = (SELECT max(shard) FRO
 m AS (SELECT shard, min(path) AS path_min, max(path) AS path_max, count(*) AS n_files, sum(size)::BIGINT AS bytes FROM s GROUP BY shard) """
 
 
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.packed(docs(spark, sf_dir), TARGET, LEAST, apart=0)
+
+
 def sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs(spark, sf_dir)
     return d.join(I.pack_shards(d, TARGET, LEAST), "path")
@@ -514,7 +518,7 @@ def sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("shard_packing", SHARDS + "SELECT path, shard FROM s")
 def _(spark, sf_dir):
     """Files packed into shards in path order."""
-    return I.pack_shards(docs(spark, sf_dir), TARGET, LEAST)
+    return packed(spark, sf_dir).select("path", "shard")
 
 
 @query("shard_manifest", SHARDS + "SELECT * FROM m")
