@@ -524,7 +524,7 @@ def _(spark, sf_dir):
 @query("shard_manifest", SHARDS + "SELECT * FROM m")
 def _(spark, sf_dir):
     """Path ranges and sizes of shards."""
-    return I.manifest(sharded(spark, sf_dir))
+    return I.manifest(packed(spark, sf_dir))
 
 
 @query("shard_skip", SHARDS + f", x AS (SELECT shard, translate(text, '{T.UPPER}', '{T.LOWER}') AS t FROM s JOIN f USING (path)) SELECT shard FROM x GROUP BY shard HAVING bool_or(contains(t, 'ice')) AND bool_or(contains(t, 'cen')) AND bool_or(contains(t, 'ens')) AND bool_or(contains(t, 'nse'))")

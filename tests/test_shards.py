@@ -9,11 +9,12 @@ from dredge.operators import index
 from dredge.queries import QUERIES, SQL
 
 DIR = "/root/testdata/sf0.001"
+OF_SHARDS = ["shard_packing", "shard_manifest"]
 
 
 @pytest.fixture(scope="module")
 def expected(tmp_path_factory):
-    return answers(DIR, {n: SQL[n] for n in ("shard_packing",)}, tmp_path_factory.mktemp("oracle"))
+    return answers(DIR, {n: SQL[n] for n in OF_SHARDS}, tmp_path_factory.mktemp("oracle"))
 
 
 def folded(sizes, target, least):
@@ -26,9 +27,18 @@ def folded(sizes, target, least):
     return [min(s, shard - 1) for s in shards] if shard and filled < least else shards
 
 
-def test_packing_over_ranges_equals_sql(spark, expected, monkeypatch):
+@pytest.mark.parametrize("name", OF_SHARDS)
+def test_ranges_equal_sql(spark, expected, monkeypatch, name):
     monkeypatch.setattr(index, "RANGE_SHARDS", 1)
-    assert same(QUERIES["shard_packing"](spark, DIR), expected["shard_packing"])
+    assert same(QUERIES[name](spark, DIR), expected[name])
+
+
+def test_manifest_has_each_file_once(spark, tmp_path):
+    """Rows of one path and size are so many files."""
+    docs = spark.range(90).selectExpr("id div 2 AS doc_id", "repeat('x', 9000) AS text", "'en' AS lang", "'s' AS source")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [tuple(r) for r in QUERIES["shard_manifest"](spark, str(tmp_path)).select("shard", "n_files", "bytes").orderBy("shard").collect()]
+    assert rows == [(k, 12, 108_000) for k in range(6)] + [(6, 18, 162_000)]
 
 
 @pytest.mark.parametrize("kind", ["mixed", "even", "tiny", "zeros", "large", "one", "none"])
