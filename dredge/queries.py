@@ -537,7 +537,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """The shard whose range holds a path."""
     p = C.table(spark, sf_dir, "documents").select(F.concat(F.lit("src"), F.col("doc_id") % 25, F.lit("/en/"), "doc_id", F.lit(".md")).alias("path"))
-    return I.shard_of(p, I.manifest(sharded(spark, sf_dir)))
+    return I.shard_of(p, I.manifest(packed(spark, sf_dir)))
 
 
 # changes
