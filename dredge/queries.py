@@ -589,7 +589,7 @@ def _(spark, sf_dir):
 @query("dirty_shards", SHARDS + ", d AS (SELECT shard FROM s JOIN f USING (path) WHERE doc_id % 10 = 3) SELECT shard, count(*) AS dirty FROM d GROUP BY shard HAVING count(*) >= 5 OR (SELECT count(*) FROM d) <= 5")
 def _(spark, sf_dir):
     """Shards with enough changes to be rewritten."""
-    return D.dirty_shards(sharded(spark, sf_dir), changes(spark, sf_dir), 5)
+    return D.dirty_shards(packed(spark, sf_dir), changes(spark, sf_dir), 5)
 
 
 @query("debounce_batches", """WITH e AS (SELECT event_type, ts, lag(ts) OVER (PARTITION BY event_type ORDER BY ts) AS before FROM events),
