@@ -511,8 +511,7 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir)
-    return d.join(I.pack_shards(d, TARGET, LEAST), "path")
+    return docs(spark, sf_dir).join(packed(spark, sf_dir).select("path", "shard"), "path")
 
 
 @query("shard_packing", SHARDS + "SELECT path, shard FROM s")

@@ -9,7 +9,7 @@ from dredge.operators import index
 from dredge.queries import QUERIES, SQL
 
 DIR = "/root/testdata/sf0.001"
-OF_SHARDS = ["shard_packing", "shard_manifest", "path_to_shard", "dirty_shards"]
+OF_SHARDS = ["shard_packing", "shard_manifest", "path_to_shard", "dirty_shards", "shard_skip"]
 
 
 @pytest.fixture(scope="module")
